@@ -5,12 +5,14 @@ from __future__ import annotations
 from riskspark.llm.bpe import op6_bpe
 from riskspark.llm.decontaminate import OP4_SQL, op4_decontaminate
 from riskspark.llm.line_dedup import OP5_SQL, op5_line_dedup
+from riskspark.llm.minhash import OP3_SQL, op3_minhash
 from riskspark.llm.secrets import op2_secrets
 
 QUERIES = {
     "op2_secrets": op2_secrets,
+    "op3_minhash": op3_minhash,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
 }
-SQL = {"op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL}
+SQL = {"op3_minhash": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL}
