@@ -63,6 +63,13 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES):
         lo = hi
 
 
+def sliced(batches, at: int, limit: int = CHUNK_BYTES):
+    """Batches cut by the bytes of column `at`, each with that column's texts: what a task holds doesn't follow the rows of a batch."""
+    for batch in batches:
+        for lo, texts in pieces(batch.column(at), limit):
+            yield batch.slice(lo, len(texts)), texts
+
+
 def offsets_of(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
 

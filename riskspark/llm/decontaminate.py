@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import byte_table, mix, pieces, raw, table, word_bounds, written
+from riskspark.llm.common import byte_table, mix, raw, sliced, table, word_bounds, written
 
 WINDOW, BLOCK, TABLE_BITS, SEGMENT = 10, 2, 18, 128
 LOWER = byte_table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -113,43 +113,40 @@ def tables(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> list[W
     return [WuManber(n, w) for n, w in sorted(by_length.items())]
 
 
-def _search(shared, with_words: bool):
+def _search(shared):
     def run(batches):
         names, searchers = shared.value
-        for batch in batches:
-            n_words, spans, items = [], [], []
-            for _, texts in pieces(batch.column(0)):
-                joined, at = raw(texts)
-                data = joined.translate(LOWER)
-                starts, ends, first = word_bounds(data, at)
-                padded = data + b" " * 8
-                owner = np.repeat(np.arange(len(texts)), np.diff(first))
-                hit, of = np.zeros(len(starts) + 1, np.int64), [set() for _ in range(len(texts))]
-                for s in searchers:
-                    for q in s.ends(lambda i: _codes(padded, starts[i], ends[i]), len(starts)).tolist():
-                        p = q - s.length + 1
-                        if owner[p] != owner[q]:
-                            continue
-                        got = s.windows.get(b" ".join([data[starts[i] : ends[i]] for i in range(p, q + 1)]))
-                        if got is not None:
-                            hit[p] += 1
-                            hit[q + 1] -= 1
-                            of[owner[p]].update(got)
-                covered = np.cumsum(hit[:-1]) > 0
-                n_words += np.diff(first).tolist()
-                edge = np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)) if len(covered) else np.zeros(0, np.int8)
-                opens, shuts = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                runs: list[list[dict]] = [[] for _ in range(len(texts))]
-                for a, b in zip(opens.tolist(), shuts.tolist(), strict=True):
-                    while a < b:  # a run may go on into the next text
-                        mine = owner[a]
-                        end = min(b, int(first[mine + 1]))
-                        runs[mine].append({"first": a - int(first[mine]), "last": end - 1 - int(first[mine])})
-                        a = end
-                spans += runs
-                items += [sorted({names[k] for k in x}) for x in of]
+        for batch, texts in sliced(batches, 0):
+            joined, at = raw(texts)
+            data = joined.translate(LOWER)
+            starts, ends, first = word_bounds(data, at)
+            padded = data + b" " * 8
+            owner = np.repeat(np.arange(len(texts)), np.diff(first))
+            hit, of = np.zeros(len(starts) + 1, np.int64), [set() for _ in range(len(texts))]
+            for s in searchers:
+                for q in s.ends(lambda i: _codes(padded, starts[i], ends[i]), len(starts)).tolist():
+                    p = q - s.length + 1
+                    if owner[p] != owner[q]:
+                        continue
+                    got = s.windows.get(b" ".join([data[starts[i] : ends[i]] for i in range(p, q + 1)]))
+                    if got is not None:
+                        hit[p] += 1
+                        hit[q + 1] -= 1
+                        of[owner[p]].update(got)
+            covered = np.cumsum(hit[:-1]) > 0
+            n_words = np.diff(first).tolist()
+            edge = np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)) if len(covered) else np.zeros(0, np.int8)
+            opens, shuts = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            runs: list[list[dict]] = [[] for _ in range(len(texts))]
+            for a, b in zip(opens.tolist(), shuts.tolist(), strict=True):
+                while a < b:  # a run may go on into the next text
+                    mine = owner[a]
+                    end = min(b, int(first[mine + 1]))
+                    runs[mine].append({"first": a - int(first[mine]), "last": end - 1 - int(first[mine])})
+                    a = end
+            items = [sorted({names[k] for k in x}) for x in of]
             span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[1:], "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(n_words, pa.int64()), pa.array(runs, span), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[1:], "n_words", "hits", "items"])
 
     return run
 
@@ -170,7 +167,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
         shared = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], tables(rows, window)))
         kept = docs.select(F.col(text).alias("__text"), *docs.columns)
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, hits array<struct<first:long,last:long>>, items array<string>"])
-        return kept.mapInArrow(_search(shared, True), schema)
+        return kept.mapInArrow(_search(shared), schema)
 
     if shards == 1:
         out = passed(docs, items)

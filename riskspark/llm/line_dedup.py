@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.common import estimated_bytes, table, written
+from riskspark.llm.common import estimated_bytes, sliced, table, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 SEGMENT = 1 << 15  # bytes of a filter that are merged together
@@ -164,7 +164,7 @@ def _dropped(doomed, text_at: int, id_at: int | None, schema: pa.Schema):
 
     def run(batches):
         gone = doomed.value
-        for batch in batches:
+        for batch, _ in sliced(batches, text_at):
             texts, total, lost = [], [], []
             ids = batch.column(id_at).to_pylist() if id_at is not None else None
             for row, value in enumerate(batch.column(text_at)):
@@ -199,7 +199,7 @@ def _flagged(seen, bits: int, min_chars: int):
 
 def _cut(text_at: int, lines_at: int, schema: pa.Schema):
     def run(batches):
-        for batch in batches:
+        for batch, _ in sliced(batches, text_at):
             texts, total, lost = [], [], []
             for value, gone in zip(batch.column(text_at), batch.column(lines_at), strict=True):
                 lines, gone = (value.as_py() or "").split("\n"), set(gone.as_py() or ())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import byte_table, mix, pieces, raw, table, word_bounds, word_hashes, written
+from riskspark.llm.common import byte_table, mix, pieces, raw, sliced, table, word_bounds, word_hashes, written
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 48, 5, 2
@@ -104,21 +104,17 @@ def most_different(percent: int) -> int:
 
 
 def _features(batches):
-    for batch in batches:
-        n, hashes, sig, keys = [], [], [], []
-        for _, texts in pieces(batch.column(1)):
-            rows, seen = [], {}
-            for one in shingle_sets(texts):
-                n.append(len(one))
-                h = set_hash(one)
-                hashes.append(h)
-                if h not in seen:
-                    seen[h] = minima(one)
-                rows.append(seen[h])
-            least = np.array(rows).reshape(len(rows), BANDS * ROWS)
-            sig.append(packed(least).astype(np.int64))
-            keys.append(band_keys(least).astype(np.int64))
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(x).ravel()), w).cast(pa.list_(pa.int64())) if x else pa.array([], pa.list_(pa.int64())) for x, w in ((sig, LONGS), (keys, BANDS))]
+    for batch, texts in sliced(batches, 1):
+        n, hashes, rows, seen = [], [], [], {}
+        for one in shingle_sets(texts):
+            n.append(len(one))
+            hashes.append(h := set_hash(one))
+            if h not in seen:
+                seen[h] = minima(one)
+            rows.append(seen[h])
+        least = np.array(rows)
+        sig, keys = packed(least).astype(np.int64), band_keys(least).astype(np.int64)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), w).cast(pa.list_(pa.int64())) for x, w in ((sig, LONGS), (keys, BANDS))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), *lists], ["id", "n", "hi", "lo", "sig", "bands"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskspark.llm.ann import op8_ann
 from riskspark.llm.bpe import op6_bpe
 from riskspark.llm.decontaminate import OP4_SQL, op4_decontaminate
 from riskspark.llm.line_dedup import OP5_SQL, op5_line_dedup
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
+    "op8_ann": op8_ann,
 }
 SQL = {"op3_minhash": OP3_SQL, "op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pieces, table
+from riskspark.llm.common import sliced, table
 
 KINDS = ("assign", "access", "hex", "random")
 # The shapes of named values, key ids and hexadecimal runs.
@@ -85,13 +85,12 @@ def scan(docs: DataFrame, vocab, text: str = "text", max_ratio: float = MAX_RATI
 
     def run(batches):
         count = _counter(*vocab.value)
-        for batch in batches:
+        for batch, texts in sliced(batches, at):
             out = []
-            for _, texts in pieces(batch.column(at)):
-                for x in texts.to_pylist():
-                    spans = base_spans(x)
-                    spans += random_spans(x, spans, count, max_ratio)
-                    out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
+            for x in texts.to_pylist():
+                spans = base_spans(x)
+                spans += random_spans(x, spans, count, max_ratio)
+                out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(out, kind)], [*batch.schema.names, "found"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "found array<struct<kind:string,start:long,end:long>>"])
