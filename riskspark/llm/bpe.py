@@ -13,6 +13,7 @@ A null text encodes as an empty one: no ids. Ids are packed as little-endian uns
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 
 import numpy as np
@@ -21,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import pieces as parts
-from riskspark.llm.common import table
+from riskspark.llm.common import sliced, table
 
 NONE = np.int32(2**31 - 1)
-MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 256, 1 << 18, 1 << 20
+MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 256, 1 << 18, 1 << 18
+CHUNK = 1 << 20  # bytes of text that are worked on at once
 
 
 class PairTable:
@@ -66,15 +67,18 @@ class Bpe:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {v: k for k, v in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs, merged = [], []
+        self.known: dict[str, bytes] = {}
+
+    @functools.cached_property
+    def pairs(self) -> PairTable:
+        pairs, merged, ranks = [], [], self.ranks
         for whole, rank in ranks.items():
             for i in range(1, len(whole)):
                 left, right = ranks.get(whole[:i]), ranks.get(whole[i:])
                 if left is not None and right is not None:
                     pairs.append(left << 32 | right)
                     merged.append(rank)
-        self.pairs = PairTable(np.array(pairs, np.uint64), np.array(merged, np.int32))
-        self.known: dict[str, bytes] = {}
+        return PairTable(np.array(pairs, np.uint64), np.array(merged, np.int32))
 
     def encode(self, text: str) -> bytes:
         found = self.pattern.findall(text)
@@ -198,13 +202,10 @@ def encode(docs: DataFrame, vocab, text: str = "text", into: str = "ids") -> Dat
 
     def run(batches):
         coder = loaded(vocab)
-        for batch in batches:
-            out: list[bytes] = []
-            for _, texts in parts(batch.column(at)):
-                found = [coder.pattern.findall(x) for x in texts.to_pylist()]
-                coder.learn(set().union(*found))
-                out += [b"".join(map(coder.known.__getitem__, one)) for one in found]
-            yield _with(batch, into, out, pa.binary())
+        for batch, texts in sliced(batches, at, CHUNK):
+            found = [coder.pattern.findall(x) for x in texts.to_pylist()]
+            coder.learn(set().union(*found))
+            yield _with(batch, into, [b"".join(map(coder.known.__getitem__, one)) for one in found], pa.binary())
 
     return docs.mapInArrow(run, _schema(docs, f"`{into}` binary"))
 
@@ -217,7 +218,9 @@ def decode(docs: DataFrame, vocab, ids: str = "ids", into: str = "decoded") -> D
     def run(batches):
         coder = loaded(vocab)
         for batch in batches:
-            yield _with(batch, into, [coder.decode(x or b"") for x in batch.column(at).to_pylist()], pa.binary())
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield _with(part, into, [coder.decode(x or b"") for x in part.column(at).to_pylist()], pa.binary())
 
     return docs.mapInArrow(run, _schema(docs, f"`{into}` binary"))
 
