@@ -534,11 +534,11 @@ def graph_counts(spark, d):
 _IMPORTS = "SELECT DISTINCT path AS importer, 'x.' || regexp_replace(regexp_extract(path, '([^/]+)$', 1), '(.)\\.[^.]*$', '\\1') AS spec FROM files"
 
 
-@query(f"""SELECT DISTINCT importer, spec, CASE WHEN n = 1 THEN only WHEN m = 1 THEN near END AS target FROM (
+@query(f"""SELECT DISTINCT importer, spec, CASE WHEN n = 1 THEN sole WHEN m = 1 THEN near END AS target FROM (
   SELECT importer, spec, lower(list_extract(regexp_split_to_array(spec, '[./:\\\\]'), -1)) AS token, regexp_extract(importer, '^(.*)/[^/]*$', 1) AS dir FROM ({_IMPORTS}))
-  JOIN (SELECT stem AS token, count(*) AS n, min(path) AS only FROM (SELECT path, lower(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '(.)\\.[^.]*$', '\\1')) AS stem FROM files) GROUP BY 1) USING (token)
+  JOIN (SELECT stem AS token, count(*) AS n, min(path) AS sole FROM (SELECT path, lower(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '(.)\\.[^.]*$', '\\1')) AS stem FROM files) GROUP BY 1) USING (token)
   LEFT JOIN (SELECT stem AS token, dir, count(*) AS m, min(path) AS near FROM (SELECT path, lower(regexp_replace(regexp_extract(path, '([^/]+)$', 1), '(.)\\.[^.]*$', '\\1')) AS stem, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files) GROUP BY 1, 2) USING (token, dir)
-  WHERE length(token) >= 3 AND CASE WHEN n = 1 THEN only WHEN m = 1 THEN near END IS NOT NULL""")
+  WHERE length(token) >= 3 AND CASE WHEN n = 1 THEN sole WHEN m = 1 THEN near END IS NOT NULL""")
 def resolve_generic(spark, d):
     own = a.files(spark, d).select("path")
     return graph.resolve_generic(own.select(F.col("path").alias("importer"), F.concat(F.lit("x."), t.stem(F.col("path"))).alias("spec")).distinct(), own)
