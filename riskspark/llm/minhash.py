@@ -4,16 +4,16 @@ A document's set: the distinct SHINGLE-word shingles of its whole text, A-Z in l
 fewer words the whole sequence is one shingle; without words it is empty and linked with nothing. Documents whose sets have
 100 * intersection >= percent * union are linked; a component is what links connect.
 
-1. One pass over the texts gives, for each document, its set's size and 128-bit hash, BANDS * ROWS minima, of which BITS low
+1. One pass over the texts gives, for each document, its set's size and 128-bit hash, MINIMA minima, of which BITS low
    bits stay, packed (the b-bit signature), and a hash of each band's minima. Equal sets become one class, which is its
    smallest id, before anything is paired.
 2. A band's bucket links each class with the bucket's smallest: as many candidates as rows, never all pairs of a bucket. Bit
    counts of the signatures' difference give the similarity, corrected for the 2**-BITS of pairs that agree by chance; what
-   lies more than SLACK (5 standard deviations) below the threshold is left out. The rest is confirmed on full sets.
+   lies more than DEVIATIONS standard deviations below the threshold is left out. The rest is confirmed on full sets.
 3. Confirmed links are contracted to components, by joins. A class that is not in the component of its bucket's smallest is
-   then compared, by signature, with all classes of the bucket that are in other components, in blocks of BLOCK classes as
-   tasks of their own; what passes is confirmed too. So each pair that shares a bucket is either confirmed or refuted, or
-   already in one component; there is no cap on buckets.
+   then compared with all classes of the bucket that are in other components, by a longer signature of one bit a field
+   (which only members of such buckets get), in blocks of BLOCK classes as tasks of their own; what passes is confirmed
+   too. So each pair that shares a bucket is either confirmed or refuted, or already in one component; no bucket is capped.
 
 At similarity 0.75 a pair shares no bucket with probability (1 - 0.75**5)**48 = 2e-6, at 0.8 with 5e-9.
 
@@ -31,11 +31,14 @@ from pyspark.sql import functions as F
 from riskspark.llm.common import byte_table, mix, pieces, raw, sliced, table, word_bounds, word_hashes, written
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS, BITS = 48, 5, 2
-SLACK, BLOCK, GROUP = 0.17, 2048, 64
-LONGS = -(-BANDS * ROWS * BITS // 64)
+BANDS, ROWS = 48, 5
+MINIMA, BITS = 480, 4  # of the signature; bands take the first BANDS * ROWS
+FINE_MINIMA, FINE_BITS = 3840, 1  # of the longer signature for buckets of several components
+DEVIATIONS, BLOCK, GROUP = 4.5, 2048, 64
+LONGS = -(-MINIMA * BITS // 64)
+BROADCAST_IDS = 1 << 22
 LOWER = byte_table([0x20, *range(0x09, 0x0E)])
-_SALT = mix(np.arange(7, 7 + BANDS * ROWS, dtype=np.uint64))
+_SALT = mix(np.arange(7, 7 + FINE_MINIMA, dtype=np.uint64))
 _XOR, _ODD = (_SALT >> np.uint64(32)).astype(np.uint32), _SALT.astype(np.uint32) | np.uint32(1)
 _FOLD = np.uint64(0x9FB21C651E98DF25)
 
@@ -69,38 +72,39 @@ def set_hash(one: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.astype(np.int64)) for x in both)
 
 
-def minima(one: np.ndarray) -> np.ndarray:
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    short = (one >> np.uint64(32)).astype(np.uint32)
-    for lo in range(0, len(short), 256):
-        cells = short[lo : lo + 256, None] ^ _XOR
-        cells *= _ODD
+def minima(one: np.ndarray, count: int = MINIMA) -> np.ndarray:
+    out = np.full(count, 0xFFFFFFFF, np.uint32)
+    short, step = (one >> np.uint64(32)).astype(np.uint32), max(1, (1 << 16) // count)
+    for lo in range(0, len(short), step):
+        cells = short[lo : lo + step, None] ^ _XOR[:count]
+        cells *= _ODD[:count]
         np.minimum(out, cells.min(axis=0), out=out)
     return out
 
 
-def packed(least: np.ndarray) -> np.ndarray:
-    """The BITS low bits of each minimum, a row of LONGS 64-bit integers for each row."""
-    per = 64 // BITS
-    low = np.zeros((len(least), LONGS * per), np.uint64)
-    low[:, : least.shape[1]] = mix(least.astype(np.uint64)) & np.uint64((1 << BITS) - 1)
-    shifted = low.reshape(len(least), LONGS, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
+def packed(least: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of each minimum, as rows of 64-bit integers."""
+    per = 64 // bits
+    low = np.zeros((len(least), -(-least.shape[1] // per) * per), np.uint64)
+    low[:, : least.shape[1]] = mix(least.astype(np.uint64)) & np.uint64((1 << bits) - 1)
+    shifted = low.reshape(len(least), -1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(bits))
     return np.bitwise_or.reduce(shifted, axis=2)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(least), BANDS)).copy()
-    by_band = least.reshape(len(least), BANDS, ROWS).astype(np.uint64)
+    by_band = least[:, : BANDS * ROWS].reshape(len(least), BANDS, ROWS).astype(np.uint64)
     with np.errstate(over="ignore"):
         for i in range(ROWS):
             key = mix(key * _FOLD + by_band[:, :, i])
     return key
 
 
-def most_different(percent: int) -> int:
-    """The most signature fields that may differ for an estimate of percent - SLACK."""
-    chance = 2.0**-BITS
-    return int(BANDS * ROWS * (1 - (chance + (1 - chance) * max(0.0, percent / 100 - SLACK))))
+def most_different(percent: int, count: int = MINIMA, bits: int = BITS) -> int:
+    """The most signature fields that may differ: DEVIATIONS standard deviations more than at a similarity of percent."""
+    chance = 2.0**-bits
+    equal = chance + (1 - chance) * percent / 100
+    return int(count * (1 - equal) + DEVIATIONS * (count * equal * (1 - equal)) ** 0.5)
 
 
 def _features(batches):
@@ -118,6 +122,16 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), *lists], ["id", "n", "hi", "lo", "sig", "bands"])
 
 
+def _fine(batches):
+    """(id, hi, lo, fine): the longer signature."""
+    for batch, texts in sliced(batches, 1):
+        sets = list(shingle_sets(texts))
+        bits = np.concatenate([packed(minima(one, FINE_MINIMA)[None], FINE_BITS) for one in sets]).astype(np.int64)  # one by one: minima take much room
+        hashes = [set_hash(one) for one in sets]
+        fine = pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), bits.shape[1]).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()), fine], ["sid", "hi", "lo", "fine"])
+
+
 def _confirm(percent: int):
     """Rows come sorted by (a, salt, role): a's own text, then texts to compare it with."""
 
@@ -151,10 +165,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     A document with many partners is compared in groups of about GROUP of them."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
     pairs = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / GROUP)))
-    others = pairs.join(texts, pairs["b"] == texts["id"]).select("a", "salt", F.lit(1).alias("role"), "b", F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"), "text")
-    heads = pairs.select("a", "salt", "a_hi", "a_lo").distinct()
-    own = heads.join(texts, heads["a"] == texts["id"]).select("a", "salt", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"), "text")
-    rows = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    others = pairs.select("a", "salt", F.lit(1).alias("role"), "b", F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
+    own = pairs.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).distinct()
+    needed = own.unionByName(others)
+    # never a broadcast of the pairs, which grow with the input
+    rows = needed.hint("merge").join(texts, needed["b"] == texts["id"]).select("a", "salt", "role", "b", "hi", "lo", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return rows.mapInArrow(_confirm(percent), "a long, b long").distinct()
 
 
@@ -191,8 +207,7 @@ def _different(x: str, y: str) -> Column:
 
 
 def _block_pairs(limit: int):
-    """Rows come sorted by (bucket, bi, bj): of one block pair at a time, those with side 0 or 2 are compared with those with side 1 or 2."""
-    ones = np.uint64(sum(1 << i for i in range(0, 64, BITS)))
+    """Rows come sorted by (bucket, bi, bj): of one block pair at a time, those with side 0 or 2 are compared with those with side 1 or 2, by longer signatures."""
 
     def compared(rows):
         sid = np.array([r[0] for r in rows], np.int64)
@@ -202,12 +217,8 @@ def _block_pairs(limit: int):
         for lo in range(0, len(left), 256):
             part = left[lo : lo + 256]
             wrong = np.zeros((len(part), len(right)), np.int32)
-            for k in range(LONGS):
-                d = sig[part, k][:, None] ^ sig[right, k]
-                folded = d
-                for s in range(1, BITS):
-                    folded = folded | (d >> np.uint64(s))
-                wrong += np.bitwise_count(folded & ones)
+            for k in range(sig.shape[1]):  # one bit a field: each that is set differs
+                wrong += np.bitwise_count(sig[part, k][:, None] ^ sig[right, k])
             i, j = np.nonzero((wrong <= limit) & (comp[part][:, None] != comp[right]))
             a, b = sid[part[i]], sid[right[j]]
             keep = (a != b) & ((side[part[i]] != 2) | (a < b))
@@ -245,6 +256,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keys = sets.select("sid", F.explode("bands").alias("bucket"))
     hubs = keys.groupBy("bucket").agg(F.min("sid").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     buckets = written(keys.join(hubs, "bucket"), "buckets")
+    # only texts of documents that share a bucket are needed again; their ids are broadcast within a checked bound
+    involved = buckets.select("sid").distinct()
+    few = involved.count() <= BROADCAST_IDS
+    texts = written(texts.join(F.broadcast(involved) if few else involved, texts["id"] == involved["sid"], "left_semi"), "texts")
     half = lambda side: sets.select(F.col("sid").alias(side), F.col("hi").alias(f"{side}_hi"), F.col("lo").alias(f"{side}_lo"), F.col("sig").alias(f"{side}_sig"))
     limit = most_different(percent)
     stars = buckets.filter("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
@@ -255,7 +270,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     placed = buckets.filter("size > 2").join(comps, buckets["sid"] == comps["id"], "left").select("bucket", "sid", "size", F.coalesce("comp", "sid").alias("comp"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min_by("comp", "sid").alias("main"), (F.min("comp") < F.max("comp")).alias("several")).filter("several").drop("several")
-    rows = placed.join(mixed, "bucket").join(sets.select("sid", "sig"), "sid")
+    rows = written(placed.join(mixed, "bucket"), "mixed")
+    members = rows.select("sid").distinct()
+    members = F.broadcast(members) if few else members
+    fine = texts.join(members, texts["id"] == members["sid"], "left_semi").mapInArrow(_fine, "sid long, hi long, lo long, fine array<bigint>")
+    fine = written(fine.join(sets.select("sid", "hi", "lo"), ["sid", "hi", "lo"], "left_semi"), "fine")
+    rows = rows.join(fine.select("sid", F.col("fine").alias("sig")), "sid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     rows = rows.select("bucket", "sid", "comp", "sig", (F.col("comp") == F.col("main")).alias("major"), blocks.alias("blocks"), own.alias("own"))
@@ -265,7 +285,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     among = every.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "sid", "comp", side.alias("side"), "sig")
     dealt = major.union(minor).union(among).repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    rest = dealt.mapInArrow(_block_pairs(limit), "a long, b long").distinct()
+    rest = dealt.mapInArrow(_block_pairs(most_different(percent, FINE_MINIMA, FINE_BITS)), "a long, b long").distinct()
     rest = written(rest.join(half("a").drop("a_sig"), "a").join(half("b").drop("b_sig"), "b"), "pairs")
     if not rest.isEmpty():
         more = confirmed(rest, texts, percent)
