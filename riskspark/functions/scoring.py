@@ -13,8 +13,8 @@ def scale(value: str, threshold: str, cap: float) -> str:
 
 
 def squash(raw: str) -> str:
-    """0 to 100, steep at first."""
-    return f"CASE WHEN {raw} <= 0 THEN cast(0.0 AS double) ELSE round(100 * (1 - exp(-({raw}) / 55)), 2) END"
+    """0 to 100, steep at first; 0 for no points. The argument occurs once, as it can be a long expression."""
+    return f"round(100 * (1 - exp(-greatest(cast(0.0 AS double), {raw}) / 55)), 2)"
 
 
 def band(score: str, medium: float = 35, high: float = 60, critical: float = 85) -> str:
