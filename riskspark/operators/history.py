@@ -33,7 +33,7 @@ def top_authors(changes: DataFrame, k: int = 10) -> DataFrame:
 
 
 def fix_follow(changes: DataFrame, horizon: int) -> DataFrame:
-    """The share of other edits that a fix of the same path follows within the horizon: a range frame, no join."""
+    """The share of other edits that a fix of the same path follows within the horizon: a range frame, no join. One path's rows are in one task; for paths with a share of all rows take fix_follow_semijoin, which also deals by time."""
     w = Window.partitionBy("path").orderBy("ts").rangeBetween(1, horizon)
     followed = changes.withColumn("followed", F.coalesce(F.max(F.col("is_fix").cast("int")).over(w), F.lit(0)))
     return followed.groupBy("path").agg(F.count_if(~F.col("is_fix")).alias("edits"), F.count_if(~F.col("is_fix") & (F.col("followed") == 1)).alias("followed")).withColumn("rate", F.col("followed") / F.greatest("edits", F.lit(1)))
