@@ -36,8 +36,8 @@ _ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "ass
 #: each: a list of turns (path to the list, then the field of the role and of the text), or fields that are turns by themselves, in order;
 #: several fields of one turn are joined by an empty line. alternate: a list of plain texts, user first.
 MAPPINGS = (
-    {"name": "messages", "list": "messages", "role": "role", "text": "content", "roles": _ROLES},
-    {"name": "message-parts", "list": "messages", "role": "role", "text": "content", "part": "text", "optional": ("messages[].content[].type",), "roles": _ROLES},
+    {"name": "messages", "list": "messages", "role": "role", "text": "content"},
+    {"name": "message-parts", "list": "messages", "role": "role", "text": "content", "part": "text", "optional": ("messages[].content[].type",)},
     {"name": "from-value", "list": "conversations", "role": "from", "text": "value", "optional": ("system",), "before": (("system", ("system",)),), "roles": _ROLES},
     {"name": "instruction", "fields": (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), "optional": ("system", "input")},
     {"name": "prompt-response", "fields": (("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",))), "optional": ("system",)},

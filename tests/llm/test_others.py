@@ -12,7 +12,7 @@ def test_layouts():
 
     cases = [
         ({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": None}]}, "messages", ["user:a", "assistant:"]),
-        ({"id": 3, "meta": {"x": [1]}, "messages": [{"role": "human", "content": "a", "n": 1}]}, "messages", ["user:a"]),
+        ({"id": 3, "meta": {"x": [1]}, "messages": [{"role": "human", "content": "a", "n": 1}]}, "messages", ["human:a"]),
         ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}], "system": "s"}, "from-value", ["system:s", "user:q", "assistant:r"]),
         ({"instruction": "do", "input": "this", "output": "done"}, "instruction", ["user:do\n\nthis", "assistant:done"]),
         ({"instruction": "do", "output": "done"}, "instruction", ["user:do", "assistant:done"]),
