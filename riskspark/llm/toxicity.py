@@ -27,7 +27,7 @@ from riskspark.llm.common import sliced, table
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 MAX_ROWS, MIN_DOCS, ROUNDS = 5000, 3, 150
-RATE, L1, PAIR_WEIGHT, REMEMBERED = 0.3, 2e-4, 1.0, 1 << 18
+RATE, L1, PAIR_WEIGHT, REMEMBERED = 0.3, 2e-4, 1.0, 1 << 17
 # Terms that name groups of people; each is swapped for the next of its tuple, the last for the first.
 IDENTITY_GROUPS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
