@@ -209,10 +209,11 @@ def _different(x: str, y: str) -> Column:
 def _block_pairs(limit: int):
     """Rows come sorted by (bucket, bi, bj): of one block pair at a time, those with side 0 or 2 are compared with those with side 1 or 2, by longer signatures."""
 
-    def compared(rows):
+    def compared(bucket, rows):
         sid = np.array([r[0] for r in rows], np.int64)
         comp, side = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
         sig = np.array([r[3] for r in rows], np.int64).astype(np.uint64)
+        bands = np.array([r[4] for r in rows], np.int64)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         for lo in range(0, len(left), 256):
             part = left[lo : lo + 256]
@@ -220,9 +221,12 @@ def _block_pairs(limit: int):
             for k in range(sig.shape[1]):  # one bit a field: each that is set differs
                 wrong += np.bitwise_count(sig[part, k][:, None] ^ sig[right, k])
             i, j = np.nonzero((wrong <= limit) & (comp[part][:, None] != comp[right]))
-            a, b = sid[part[i]], sid[right[j]]
-            keep = (a != b) & ((side[part[i]] != 2) | (a < b))
-            yield from zip(np.minimum(a, b)[keep].tolist(), np.maximum(a, b)[keep].tolist(), strict=True)
+            for at in range(0, len(i), 8192):
+                x, y = part[i[at : at + 8192]], right[j[at : at + 8192]]
+                a, b = sid[x], sid[y]
+                first = (bands[x] == bands[y]).argmax(axis=1) == (bands[x] == bucket).argmax(axis=1)  # of all buckets that two share, the first gives the pair
+                keep = (a != b) & ((side[x] != 2) | (a < b)) & first
+                yield from zip(np.minimum(a, b)[keep].tolist(), np.maximum(a, b)[keep].tolist(), strict=True)
 
     def run(batches):
         now, rows = None, []
@@ -232,16 +236,16 @@ def _block_pairs(limit: int):
 
         for batch in batches:
             found = set()
-            for bucket, bi, bj, *rest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for bucket, bi, bj, *rest in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if (bucket, bi, bj) != now:
                     if rows:
-                        found.update(compared(rows))
+                        found.update(compared(now[0], rows))
                     now, rows = (bucket, bi, bj), []
                 rows.append(rest)
             if found:
                 yield out(list(found))
         if rows:
-            yield out(list(set(compared(rows))))
+            yield out(list(set(compared(now[0], rows))))
 
     return run
 
@@ -274,16 +278,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = rows.select("sid").distinct()
     members = F.broadcast(members) if few else members
     fine = texts.join(members, texts["id"] == members["sid"], "left_semi").mapInArrow(_fine, "sid long, hi long, lo long, fine array<bigint>")
-    fine = written(fine.join(sets.select("sid", "hi", "lo"), ["sid", "hi", "lo"], "left_semi"), "fine")
-    rows = rows.join(fine.select("sid", F.col("fine").alias("sig")), "sid")
+    fine = written(fine.join(sets.select("sid", "hi", "lo", "bands"), ["sid", "hi", "lo"]), "fine")
+    rows = rows.join(fine.select("sid", F.col("fine").alias("sig"), "bands"), "sid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-    rows = rows.select("bucket", "sid", "comp", "sig", (F.col("comp") == F.col("main")).alias("major"), blocks.alias("blocks"), own.alias("own"))
-    major = rows.filter("major").select("bucket", F.lit(-1).alias("bi"), F.col("own").alias("bj"), "sid", "comp", F.lit(1).alias("side"), "sig")
+    rows = rows.select("bucket", "sid", "comp", "sig", "bands", (F.col("comp") == F.col("main")).alias("major"), blocks.alias("blocks"), own.alias("own"))
+    major = rows.filter("major").select("bucket", F.lit(-1).alias("bi"), F.col("own").alias("bj"), "sid", "comp", F.lit(1).alias("side"), "sig", "bands")
     every = rows.filter("not major").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    minor = every.select("bucket", F.lit(-1).alias("bi"), F.col("other").alias("bj"), "sid", "comp", F.lit(0).alias("side"), "sig")
+    minor = every.select("bucket", F.lit(-1).alias("bi"), F.col("other").alias("bj"), "sid", "comp", F.lit(0).alias("side"), "sig", "bands")
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    among = every.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "sid", "comp", side.alias("side"), "sig")
+    among = every.select("bucket", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "sid", "comp", side.alias("side"), "sig", "bands")
     dealt = major.union(minor).union(among).repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     rest = dealt.mapInArrow(_block_pairs(most_different(percent, FINE_MINIMA, FINE_BITS)), "a long, b long").distinct()
     rest = written(rest.join(half("a").drop("a_sig"), "a").join(half("b").drop("b_sig"), "b"), "pairs")
