@@ -650,7 +650,7 @@ def auc_ranksum(spark, d):
 
 @functools.lru_cache(maxsize=2)
 def _trained(spark, d):
-    return learn.train(_features(spark, d), trees=5, depth=2)
+    return learn.train(_features(spark, d))
 
 
 @query()

@@ -257,3 +257,16 @@ def test_entry():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(__spark_entry__.queries()) > 130
+
+
+def test_learning_queries_use_the_default_model(spark, monkeypatch):
+    import inspect
+
+    from riskspark.plans import queries
+
+    asked = []
+    monkeypatch.setattr(queries.learn, "train", lambda rows, **options: asked.append(options))
+    monkeypatch.setattr(queries, "_features", lambda spark, d: None)
+    queries._trained.__wrapped__(spark, "/nowhere")
+    default = {k: v.default for k, v in inspect.signature(learn.pipeline).parameters.items()}
+    assert default["trees"] == 200 and default["depth"] == 3 and {k: v for o in asked for k, v in o.items() if default[k] != v} == {} and len(asked) == 1
