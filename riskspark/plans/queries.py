@@ -558,7 +558,7 @@ def _impact_sql(seeds: str) -> str:
 
 def _impact(spark, d, seeds):
     risk = a.files(spark, d).selectExpr("k AS node", "(k % 100) * 1.0D AS own_risk")
-    return graph.impact(a.edges(spark, d, 45), spark.createDataFrame([(s,) for s in seeds], "node bigint"), risk)
+    return graph.impact(a.edges(spark, d), spark.createDataFrame([(s,) for s in seeds], "node bigint"), risk)
 
 
 @query(_impact_sql("(42)"))
@@ -752,7 +752,7 @@ def resolve_imports_js(spark, d):
 
 @query()
 def centrality(spark, d):
-    return graph.centrality(a.edges(spark, d, 45), a.files(spark, d).select(F.col("k").alias("node")))
+    return graph.centrality(a.edges(spark, d), a.files(spark, d).select(F.col("k").alias("node")))
 
 
 @query()

@@ -270,3 +270,75 @@ def test_learning_queries_use_the_default_model(spark, monkeypatch):
     queries._trained.__wrapped__(spark, "/nowhere")
     default = {k: v.default for k, v in inspect.signature(learn.pipeline).parameters.items()}
     assert default["trees"] == 200 and default["depth"] == 3 and {k: v for o in asked for k, v in o.items() if default[k] != v} == {} and len(asked) == 1
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def whole_graph():
+    """All edges of quantity 20 or more, without Spark."""
+    import pandas as pd
+
+    lines = pd.read_parquet(f"{SF}/lineitem.parquet").sort_values(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    dst = lines.groupby("l_orderkey")["l_partkey"].shift(-1)
+    kept = (lines["l_returnflag"] == "R") & (lines["l_quantity"] >= 20) & dst.notna() & (lines["l_partkey"] != dst)
+    return sorted(set(zip(map(int, lines["l_partkey"][kept]), map(int, dst[kept]), strict=True)))
+
+
+def reached(edges, seeds):
+    """{node: (base, hops)} over import edges."""
+    back, base, hops = {}, {}, {}
+    for src, dst in edges:
+        back.setdefault(dst, []).append(src)
+    for seed in seeds:
+        seen = front = {seed}
+        for hop in (1, 2, 3):
+            front = {x for v in front for x in back.get(v, ())} - seen
+            seen = seen | front
+            for x in front:
+                base[x], hops[x] = base.get(x, 0.0) + 10 * 0.45 ** (hop - 1), min(hop, hops.get(x, hop))
+    return {x: (b, hops[x]) for x, b in base.items() if x not in seeds}
+
+
+@pytest.mark.parametrize("name, seeds", [("impact", [42]), ("impact_multi_seed", [42, 7, 99, 1234])])
+def test_impact_reaches_over_all_edges(spark, whole_graph, name, seeds):
+    from riskspark.plans import queries
+
+    got, want = {r.node: r for r in queries.QUERIES[name](spark, SF).collect()}, reached(whole_graph, seeds)
+    assert want and want.keys() <= got.keys()
+    assert {x: got[x].hops for x, (_, hop) in want.items() if hop == 1} == {x: 1 for x, (_, hop) in want.items() if hop == 1}
+    assert all(got[x].impact >= min(100, 3.2 * base * (1 + x % 100 / 120)) - 0.06 for x, (base, _) in want.items())
+    if name == "impact":
+        assert queries.QUERIES["impact_explain"](spark, SF).first().reached == len(got)
+
+
+def test_centrality_is_of_all_edges(spark, whole_graph):
+    import pandas as pd
+
+    from riskspark.plans import queries
+
+    nodes = [int(k) for k in pd.read_parquet(f"{SF}/part.parquet")["p_partkey"]]
+    adjacency = {v: [y for x, y in whole_graph if x == v] for v in nodes}
+    far = {}
+    for s in nodes:  # distances and numbers of shortest paths
+        dist, paths, front = {s: 0}, {s: 1}, [s]
+        while front:
+            later = []
+            for v in front:
+                for w in adjacency[v]:
+                    if w not in dist:
+                        dist[w], paths[w] = dist[v] + 1, 0
+                        later.append(w)
+                    paths[w] += paths[v] * (dist[w] == dist[v] + 1)
+            front = later
+        far[s] = dist, paths
+    want = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        dist, paths = far[s]
+        for v in dist:
+            for t, d in far[v][0].items():
+                if s != v != t != s and dist[t] == dist[v] + d:
+                    want[v] += paths[v] * far[v][1][t] / paths[t]
+    norm = 1 / ((len(nodes) - 1) * (len(nodes) - 2))
+    assert {r.node: r.centrality for r in queries.QUERIES["centrality"](spark, SF).collect()} == pytest.approx({v: x * norm for v, x in want.items()}, abs=1e-9)
