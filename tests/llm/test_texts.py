@@ -279,3 +279,17 @@ def test_licenses(spark, texts):
         assert row.score == (1.0 if at else max(share.values(), default=0.0))
     assert got[None][0].n_base == 1 and len(got[2]) == 2
     assert hashlib  # digests are the queries' part
+
+
+def test_wrapped_licenses(spark, tmp_path):
+    from riskspark.llm.licenses import TEMPLATES, op9_licenses, scan
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction"
+    cut = mit.replace("\n", "\n \t\n")  # empty lines end a paragraph
+    some = [mit, f"x\n\n{mit}\n\ny", cut, "All rights\nreserved", "All rights reserved\n\nand\nmore", mit.replace("\n", "\r\n"), None, *(t.replace(" ", "\n") for _, t in TEMPLATES)]
+    spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.score) for r in op9_licenses(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(7)] == [("mit", 1.0), ("mit", 1.0), ("", 0.0), ("all-rights-reserved", 1.0), ("all-rights-reserved", 1.0), ("mit", 1.0), ("", 0.0)]
+    assert all(label in got[7 + k][0].split(",") for k, (label, _) in enumerate(TEMPLATES))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [{r.id for r in scan(docs, block=b).collect() if "mit" in r.labels} >= {0, 1, 5} for b in ("line", "paragraph", "both")] == [False, True, True]
