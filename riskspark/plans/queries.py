@@ -558,7 +558,12 @@ def _impact_sql(seeds: str) -> str:
 
 def _impact(spark, d, seeds):
     risk = a.files(spark, d).selectExpr("k AS node", "(k % 100) * 1.0D AS own_risk")
-    return graph.impact(a.edges(spark, d), spark.createDataFrame([(s,) for s in seeds], "node bigint"), risk)
+    names, changes = a.files(spark, d).select("k", "path"), a.raw_changes(spark, d)
+    own = names.filter(F.col("k").isin(seeds))
+    shas = changes.join(own, "path", "left_semi").select("sha").distinct()
+    top = cochange.top_partners(cochange.strength(changes.join(shas, "sha", "left_semi")).join(own, "path"))  # whole commits of the seeds: all that their pairs need
+    strengths = top.join(names.select(F.col("path").alias("partner"), F.col("k").alias("to")), "partner").select(F.col("k").alias("path"), F.col("to").alias("partner"), F.round("strength", 3).alias("strength"))
+    return graph.impact(a.edges(spark, d), spark.createDataFrame([(s,) for s in seeds], "node bigint"), risk, strengths, names.select(F.col("k").alias("node")))
 
 
 @query(_impact_sql("(42)"))

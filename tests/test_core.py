@@ -342,3 +342,28 @@ def test_centrality_is_of_all_edges(spark, whole_graph):
                     want[v] += paths[v] * far[v][1][t] / paths[t]
     norm = 1 / ((len(nodes) - 1) * (len(nodes) - 2))
     assert {r.node: r.centrality for r in queries.QUERIES["centrality"](spark, SF).collect()} == pytest.approx({v: x * norm for v, x in want.items()}, abs=1e-9)
+
+
+@pytest.mark.parametrize("name, seeds", [("impact", [42]), ("impact_multi_seed", [42, 7, 99, 1234])])
+def test_impact_counts_cochange_partners(spark, whole_graph, name, seeds):
+    from collections import Counter
+
+    import pandas as pd
+
+    from riskspark import adapters
+    from riskspark.plans import queries
+
+    path = {r.k: r.path for r in adapters.files(spark, SF).collect()}
+    lines = pd.read_parquet(f"{SF}/lineitem.parquet")
+    commits = [set(map(int, x)) for x in lines.groupby("l_orderkey")["l_partkey"].unique() if len(set(x)) <= 25]
+    every = Counter(int(k) for x in lines.groupby("l_orderkey")["l_partkey"].unique() for k in x)
+    want = reached(whole_graph, seeds)
+    for seed in seeds:
+        together = Counter(k for x in commits if seed in x for k in x if k != seed)
+        for partner, n in sorted(together.items(), key=lambda x: (-x[1], path[x[0]]))[:10]:
+            if partner not in seeds:
+                base, hops = want.get(partner, (0.0, 1))
+                want[partner] = base + min(12, 14 * round(n / every[seed], 3)), hops
+    got = {r.node: (r.impact, r.hops) for r in queries.QUERIES[name](spark, SF).collect()}
+    assert want.keys() == got.keys() and {x: h for x, (_, h) in want.items()} == {x: h for x, (_, h) in got.items()}
+    assert {x: i for x, (i, _) in got.items()} == pytest.approx({x: min(100, 3.2 * base * (1 + x % 100 / 120)) for x, (base, _) in want.items()}, abs=0.0501)
