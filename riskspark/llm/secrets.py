@@ -3,7 +3,8 @@
 Kinds, in this order: assign (a named value), access (key ids), hex (long hexadecimal runs), random (the method's). A
 random span is a run of RUN_CHARS+ characters [A-Za-z0-9+/_-] with fewer than max_ratio characters a token under a tiktoken
 vocabulary: text that looks like language takes few tokens, random text takes many. Not counted are known digests (hex of a
-digest's length), UUIDs, numbers, identifiers (words joined by _ - / or camel case), and runs inside a span of another kind.
+digest's length), UUIDs, numbers, identifiers (words joined by _ - / or camel case, whose letters alone, lowered, reach max_ratio
+word by word), and runs inside a span of another kind.
 
 Offsets are code points of the whole text, ends exclusive. Null and empty texts have no spans.
 """
@@ -34,10 +35,18 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(r"[_/-]*(?:[A-Z]?[a-z]+|[A-Z]{1,12}|[0-9]{1,4})(?:[_/-]+(?:[A-Z]?[a-z]+|[A-Z]{1,12}|[0-9]{1,4}))*[_/-]*|[A-Za-z]?[a-z]+(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
 
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def is_identifier(run: str, count, max_ratio: float = MAX_RATIO) -> bool:
+    """An identifier's shape, of words and not of random letters; groups of digits alone are numbers."""
+    parts = PART.findall(run) if IDENTIFIER.fullmatch(run) else None
+    return parts is not None and sum(map(len, parts)) >= max_ratio * sum(count(x.lower()) for x in parts)
+
 
 def is_known(run: str) -> bool:
-    """A digest, UUID, number or identifier."""
-    return bool(HEX_ONLY.fullmatch(run) and len(run) in DIGEST_CHARS or UUID.fullmatch(run) or run.strip("_/+-").isdigit() or IDENTIFIER.fullmatch(run))
+    """A digest, UUID or number."""
+    return bool(HEX_ONLY.fullmatch(run) and len(run) in DIGEST_CHARS or UUID.fullmatch(run) or run.strip("_/+-").isdigit())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,7 +67,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], count, max_ratio:
     out = []
     for m in RUN.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e in taken) and not is_known(m[0]) and (b - a) < max_ratio * count(m[0]):
+        if not any(s < b and a < e for s, _, e in taken) and not is_known(m[0]) and (b - a) < max_ratio * count(m[0]) and not is_identifier(m[0], count, max_ratio):
             out.append((a, 3, b))
     return out
 

@@ -293,3 +293,16 @@ def test_wrapped_licenses(spark, tmp_path):
     assert all(label in got[7 + k][0].split(",") for k, (label, _) in enumerate(TEMPLATES))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert [{r.id for r in scan(docs, block=b).collect() if "mit" in r.labels} >= {0, 1, 5} for b in ("line", "paragraph", "both")] == [False, True, True]
+
+
+def test_secrets_of_one_letter_case():
+    import public_tokenizers
+
+    from riskspark.llm.secrets import _counter, random_spans
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        count = _counter(f.read(), public_tokenizers.PATTERN)
+    for run in ("XKQZJ-VWPQH-TRMBN-ZXCVB", "xkqzjvwpqhtrmbnzxcvb", "qhzxvkwjprtmbdnglcfs", "QHZ_XVK_WJP_RTM_BDN_GLC"):
+        assert random_spans(f"a {run} b", [], count) == [(2, 3, 2 + len(run))], run
+    for run in ("my_long_function_name_here", "getUserAccountInformation", "node_modules/package/index", "MAX_NUMBER_OF_CONNECTIONS", "user-2021-03-04-backup", "src/main/java/org/apache", "2021-03-04-1234-5678-90"):
+        assert random_spans(f"a {run} b", [], count) == [], run
