@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import re
 import shutil
 import tempfile
@@ -11,10 +13,33 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A batch of texts is cut into pieces of about this many bytes, so that work arrays stay small.
 CHUNK_BYTES = 1 << 19
+#: Tables in the shared folder get files of about this much input.
+PART_BYTES = 32 << 20
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, also with dots or backticks in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken, name: str) -> str:
+    """name, made longer until it is none of taken (Spark's names ignore case)."""
+    taken = {x.lower() for x in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def mapped(df: DataFrame, run, added: list[str], skip: int = 0) -> DataFrame:
+    """df.mapInArrow(run) for columns of any names: run sees plain names and gives df's columns but the first `skip`, then those added ("name type")."""
+    kinds = [f"in_{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema)]
+    out = df.toDF(*(f"in_{i}" for i in range(len(kinds)))).mapInArrow(tidy(run), ", ".join([*kinds[skip:], *added]))
+    return out.toDF(*df.columns[skip:], *(x.split(" ", 1)[0].strip("`") for x in added))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,15 +59,63 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Parquet tables in the shared folder: they cut the lineage and survive the loss of any executor.
+
+    A table is written by as many tasks as `like` (the input that it follows from) needs files of PART_BYTES, two a core at least;
+    so small tables don't become one small file for each shuffle partition."""
+
+    def __init__(self, like: DataFrame):
+        self.spark, self.parts, self.paths = like.sparkSession, parts_for(like), {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.coalesce(self.parts).write.parquet(path)
+        where, system = _file_system(self.spark, path)
+        system.deleteOnExit(where)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """For tables that no plan reads any more."""
+        for t in tables:
+            if id(t) in self.paths:
+                where, system = _file_system(self.spark, self.paths.pop(id(t))[0])
+                system.delete(where, True)
+
+
+def parts_for(df: DataFrame) -> int:
+    return min(max(2 * df.sparkSession.sparkContext.defaultParallelism, estimated_bytes(df) // PART_BYTES + 1), 1 << 24)
+
+
+def written(df: DataFrame, name: str, like: DataFrame | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, which goes when the session ends."""
+    return Scratch(df if like is None else like).put(df, name)
+
+
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy(run):
+    """A function of Arrow batches that gives freed memory back to the system at its end: workers live on idle."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim():
+                _trim()(0)
+
+    return tidied
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -51,18 +124,22 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def pieces(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES):
-    """Yields (first row, texts) with texts a null-free string array of about limit bytes; a longer text stands alone."""
+    """Yields (first row, texts) with texts a null-free string (or binary) array of about limit bytes; a longer text stands alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    ends = offsets_of(column)
-    lo = 0
-    while lo < len(column):
-        hi = int(np.searchsorted(ends, ends[lo] + limit, side="right")) - 1
-        hi = min(max(hi, lo + 1), len(column))
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
+    for lo, hi in cuts(offsets_of(column), limit):
         yield lo, column.slice(lo, hi - lo)
+
+
+def cuts(ends: np.ndarray, limit: int = CHUNK_BYTES):
+    """(first, past the last) of rows of about limit bytes together, at least one row; ends: bytes before each row, and in all."""
+    lo, n = 0, len(ends) - 1
+    while lo < n:
+        hi = int(np.searchsorted(ends, ends[lo] + limit, side="right")) - 1
+        hi = min(max(hi, lo + 1), n)
+        yield lo, hi
         lo = hi
 
 
