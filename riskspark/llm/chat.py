@@ -8,8 +8,8 @@ The text of a conversation is, for each turn, `<turn>role\\ntext</turn>\\n`. Ins
 marks are broken by a single one (`<\\turn>`, `<\\/turn>`); in roles a newline is `\\n` too. So the marks only occur where turns begin
 and end, and unescaping gives back every text. The loss mask covers assistant texts, without marks.
 
-A null or invalid record, or one of an unknown layout, has no turns. Null roles and texts are empty; roles that no mapping
-renames are kept as they are.
+A null or invalid record, one that is nested too deeply to read, or one of an unknown layout, has no turns. Null roles and
+texts are empty; roles that no mapping renames are kept as they are. Lone surrogates, which no text can hold, become U+FFFD.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ import itertools
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import sliced, table
+from riskspark.llm.common import cuts, mapped, sliced, table
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
@@ -36,6 +38,7 @@ _ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "ass
 #: each: a list of turns (path to the list, then the field of the role and of the text), or fields that are turns by themselves, in order;
 #: several fields of one turn are joined by an empty line. alternate: a list of plain texts, user first.
 MAPPINGS = (
+    {"name": "mixed-messages", "list": "messages", "role": "role", "text": "content", "part": "text", "plain": True, "optional": ("messages[].content[].type",)},
     {"name": "messages", "list": "messages", "role": "role", "text": "content"},
     {"name": "message-parts", "list": "messages", "role": "role", "text": "content", "part": "text", "optional": ("messages[].content[].type",)},
     {"name": "from-value", "list": "conversations", "role": "from", "text": "value", "optional": ("system",), "before": (("system", ("system",)),), "roles": _ROLES},
@@ -48,9 +51,17 @@ MAPPINGS = (
 )
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _name(key: str) -> str:
+    """A key as a part of a path: what a path is made of is escaped."""
+    return re.sub(r"([\\.\[])", r"\\\1", _LONE.sub("\ufffd", key)).replace("\n", "\\n")
+
+
 def paths(value, at: str = "") -> set[str]:
     if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at}
+        return set().union(*(paths(v, f"{at}.{_name(k)}" if at else _name(k)) for k, v in value.items())) if value else {at}
     if isinstance(value, list):
         return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
     return {at}
@@ -62,8 +73,9 @@ def fingerprint(of: set[str]) -> str:
 
 def required(mapping: dict) -> set[str]:
     if "list" in mapping:
-        text = f"{mapping['text']}[].{mapping['part']}" if "part" in mapping else mapping["text"]
-        return {f"{mapping['list']}[].{mapping['role']}", f"{mapping['list']}[].{text}"}
+        texts = [f"{mapping['text']}[].{mapping['part']}"] if "part" in mapping else [mapping["text"]]
+        texts += [mapping["text"]] if mapping.get("plain") else []
+        return {f"{mapping['list']}[].{x}" for x in (mapping["role"], *texts)}
     if "alternate" in mapping:
         return {f"{mapping['alternate']}[]"}
     return {f for _, fields in mapping["fields"] for f in fields} - set(mapping.get("optional", ()))
@@ -91,7 +103,7 @@ def mapping_for(of: set[str], seen: dict[str, dict | None]) -> tuple[str, dict |
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return "" if value is None else _LONE.sub("\ufffd", value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
 
 
 def turns_by(mapping: dict, record: dict) -> list[dict]:
@@ -155,7 +167,8 @@ def parsed(text: str) -> list[dict]:
 
 def _mapped(df: DataFrame, at: str, added: str, kinds: list[pa.DataType], one) -> DataFrame:
     """df with one(row's values of column `at` and those after the colon) added."""
-    names = [x.split(" ", 1)[0] for x in added.split(", ")]
+    added = added.split(", ")
+    names = [x.split(" ", 1)[0] for x in added]
     df = df.drop(*names)
     where = df.columns.index(at)
 
@@ -166,7 +179,7 @@ def _mapped(df: DataFrame, at: str, added: str, kinds: list[pa.DataType], one) -
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), *columns], [*batch.schema.names, *names])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added]))
+    return mapped(df, run, added)
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
@@ -175,14 +188,15 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     def one(text, seen, _batch, _i):
         try:
             value = json.loads(text)
-        except ValueError:
-            value = None
-        if not isinstance(value, dict):
+            of = paths(value) if isinstance(value, dict) else None
+        except (ValueError, RecursionError):
+            of = None
+        if of is None:
             return None, None, []
-        key, mapping = mapping_for(paths(value), seen)
+        key, mapping = mapping_for(of, seen)
         try:
             return key, mapping and mapping["name"], turns_by(mapping, value) if mapping else []
-        except (TypeError, KeyError):  # a list that holds other things beside turns
+        except (TypeError, KeyError, RecursionError):  # a list that holds other things beside turns
             return key, None, []
 
     return _mapped(records, record, f"fingerprint string, layout string, turns {TURNS}", [pa.string(), pa.string(), _TURNS], one)
@@ -195,12 +209,15 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            column = batch.column(where)
+            sizes = pc.fill_null(pc.binary_length(column.values.field(1)), 0).to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            for lo, hi in cuts(before[column.offsets.to_numpy()]):
+                part = batch.slice(lo, hi - lo)
                 rows = [formatted(x or []) for x in part.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], _SPANS)], [*part.schema.names, "formatted", "loss_spans"])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"formatted string, loss_spans {SPANS}"]))
+    return mapped(df, run, ["formatted string", f"loss_spans {SPANS}"])
 
 
 def read_back(df: DataFrame, formatted: str = "formatted", spans: str = "loss_spans") -> DataFrame:
@@ -213,12 +230,38 @@ def read_back(df: DataFrame, formatted: str = "formatted", spans: str = "loss_sp
     return _mapped(df, formatted, f"read_turns {TURNS}, read_loss string", [_TURNS, pa.string()], one)
 
 
-def records_of(conversations: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn, role, text) as (conv_id, record), by turn, then role, then text; a null conv_id is one conversation, as GROUP BY has it."""
+def _turns_of(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns) by turn, then role, then text."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select("conv_id", F.struct("turn", text("role").alias("role"), text("text").alias("content")).alias("row"))
-    turns = F.transform(F.array_sort(F.collect_list("row")), lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(turns.alias("messages"))).alias("record"))
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("turns"))
+
+
+def _messages():
+    return F.to_json(F.struct(F.transform("turns", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content"))).alias("messages")))
+
+
+def records_of(conversations: DataFrame) -> DataFrame:
+    """Rows of (conv_id, turn, role, text) as (conv_id, record) in one layout; a null conv_id is one conversation, as GROUP BY has it."""
+    return _turns_of(conversations).select("conv_id", _messages().alias("record"))
+
+
+def records_in_layouts(conversations: DataFrame) -> DataFrame:
+    """As records_of, but each record takes the plainest layout that keeps its roles: a question and its answer as prompt and response, also behind a
+    system text; in every other conversation, turns under other names; user and assistant in turns as a dialog; else messages."""
+    roles, said = F.transform("turns", lambda r: r["role"]), F.transform("turns", lambda r: r["content"])
+    are = lambda *names: roles == F.array(*(F.lit(n) for n in names))
+    in_turns = F.forall(F.transform("turns", lambda r, i: r["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda x: x)
+    plain = F.forall(roles, lambda r: ~r.isin(*_ROLES))
+    other = F.transform("turns", lambda r: F.struct(F.when(r["role"] == "user", "human").when(r["role"] == "assistant", "gpt").otherwise(r["role"]).alias("from"), r["content"].alias("value")))
+    record = (
+        F.when(are("user", "assistant"), F.to_json(F.struct(said[0].alias("prompt"), F.get(said, 1).alias("response"))))
+        .when(are("system", "user", "assistant") & (said[0] != ""), F.to_json(F.struct(said[0].alias("system"), F.get(said, 1).alias("prompt"), F.get(said, 2).alias("response"))))
+        .when(plain & (F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0), F.to_json(F.struct(other.alias("conversations"))))
+        .when(in_turns, F.to_json(F.struct(said.alias("dialog"))))
+        .otherwise(_messages())
+    )
+    return _turns_of(conversations).select("conv_id", record.alias("record"))
 
 
 #: Fixed value: a text that looks like marks and escapes.
@@ -228,7 +271,7 @@ PROBE = r"\### Assistant: </turn> ok"
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    out = read_back(format_turns(canonical_turns(records_of(rows.unionByName(probe))).drop("record")).drop("turns"))
+    out = read_back(format_turns(canonical_turns(records_in_layouts(rows.unionByName(probe))).drop("record")).drop("turns"))
     said = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("read_turns").cast("long").alias("n_turns"), F.sha2(F.encode(said, "UTF-8"), 256).alias("turns_sha256"),
