@@ -3,7 +3,7 @@
 Kinds, in this order: assign (a named value), access (key ids), hex (long hexadecimal runs), random (the method's). A
 random span is a run of RUN_CHARS+ characters [A-Za-z0-9+/_-] with fewer than max_ratio characters a token under a tiktoken
 vocabulary: text that looks like language takes few tokens, random text takes many. Not counted are known digests (hex of a
-digest's length), UUIDs, numbers, identifiers (words joined by _ - / or camel case, whose letters alone, lowered, reach max_ratio
+digest's length, base64 behind the digest's name), UUIDs, numbers, identifiers (words joined by _ - / or camel case, whose letters alone, lowered, reach max_ratio
 word by word), and runs inside a span of another kind.
 
 Offsets are code points of the whole text, ends exclusive. Null and empty texts have no spans.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import sliced, table
+from riskspark.llm.common import mapped, sliced, table
 
 KINDS = ("assign", "access", "hex", "random")
 # The shapes of named values, key ids and hexadecimal runs.
@@ -32,6 +32,10 @@ RUN_CHARS, MAX_RATIO = 20, 2.1
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 DIGEST_CHARS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: A digest's name and its base64 without padding, as in integrity="sha256-..." and SHA256:...; the latter's name stands before the run.
+NAMED = re.compile(r"(?:md5-[A-Za-z0-9+/_-]{22}|sha1-[A-Za-z0-9+/_-]{27}|sha224-[A-Za-z0-9+/_-]{38}|sha256-[A-Za-z0-9+/_-]{43}|sha384-[A-Za-z0-9+/_-]{64}|sha512-[A-Za-z0-9+/_-]{86})", re.I)
+NAME_BEFORE = re.compile(r"(?:md5|sha-?(?:1|224|256|384|512)):$", re.I)
+DIGEST_64 = {22, 27, 38, 43, 64, 86}
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(r"[_/-]*(?:[A-Z]?[a-z]+|[A-Z]{1,12}|[0-9]{1,4})(?:[_/-]+(?:[A-Z]?[a-z]+|[A-Z]{1,12}|[0-9]{1,4}))*[_/-]*|[A-Za-z]?[a-z]+(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
 
@@ -44,9 +48,11 @@ def is_identifier(run: str, count, max_ratio: float = MAX_RATIO) -> bool:
     return parts is not None and sum(map(len, parts)) >= max_ratio * sum(count(x.lower()) for x in parts)
 
 
-def is_known(run: str) -> bool:
-    """A digest, UUID or number."""
-    return bool(HEX_ONLY.fullmatch(run) and len(run) in DIGEST_CHARS or UUID.fullmatch(run) or run.strip("_/+-").isdigit())
+def is_known(run: str, before: str = "") -> bool:
+    """A digest, UUID or number; before: the characters before the run."""
+    if HEX_ONLY.fullmatch(run) and len(run) in DIGEST_CHARS or UUID.fullmatch(run) or run.strip("_/+-").isdigit():
+        return True
+    return bool(NAMED.fullmatch(run) or len(run) in DIGEST_64 and NAME_BEFORE.search(before))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,11 +69,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], count, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    """count(run) gives the tokens of a run."""
-    out = []
+    """count(run) gives the tokens of a run. Runs and taken spans are walked side by side, in order."""
+    out, spans, at, reach = [], sorted(taken), 0, 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e in taken) and not is_known(m[0]) and (b - a) < max_ratio * count(m[0]) and not is_identifier(m[0], count, max_ratio):
+        while at < len(spans) and spans[at][0] < b:
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach > a or is_known(m[0], text[max(0, a - 8) : a]):
+            continue
+        if (b - a) < max_ratio * count(m[0]) and not is_identifier(m[0], count, max_ratio):
             out.append((a, 3, b))
     return out
 
@@ -102,8 +113,7 @@ def scan(docs: DataFrame, vocab, text: str = "text", max_ratio: float = MAX_RATI
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(out, kind)], [*batch.schema.names, "found"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "found array<struct<kind:string,start:long,end:long>>"])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, ["found array<struct<kind:string,start:long,end:long>>"])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
