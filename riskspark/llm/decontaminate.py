@@ -9,7 +9,8 @@ item; an item of fewer words, but not none, is one window. Windows of one length
 * direct comparison of the words' bytes confirms each occurrence. So hashes never decide a result.
 
 The benchmark's windows go to every task. Their measured size is checked: above shard_bytes, items are dealt into shards
-by hash, each shard is searched in a pass of its own, and the hit words of a document are united by document.
+by hash, each shard is searched in a pass of its own, and hits of all passes are united by document, with one join.
+The shift table has SLOTS slots for each window, so that it skips as far with many windows as with few.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import byte_table, mix, raw, sliced, table, word_bounds, written
+from riskspark.llm.common import Scratch, byte_table, col, fresh, mapped, mix, raw, sliced, table, word_bounds
 
-WINDOW, BLOCK, TABLE_BITS, SEGMENT = 10, 2, 18, 128
+WINDOW, BLOCK, SEGMENT = 10, 2, 128
+SLOTS, LEAST_BITS, MOST_BITS, CHUNK = 8, 18, 24, 1 << 20
 LOWER = byte_table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SEEDS = mix(np.arange(1, 257, dtype=np.uint64))
@@ -58,6 +60,7 @@ class WuManber:
         self.length, self.block = length, min(BLOCK, length)
         self.windows = windows
         joined = list(windows)
+        self.bits = min(max((SLOTS * len(joined) - 1).bit_length(), LEAST_BITS), MOST_BITS)
         codes = np.zeros((len(joined), length), np.uint64)
         for row, window in enumerate(joined):
             padded, starts, ends = window + b" " * 8, [0], []
@@ -67,18 +70,18 @@ class WuManber:
                     starts.append(k + 1)
             codes[row] = _codes(padded, np.array(starts), np.array([*ends, len(window)]))
         furthest = length - self.block + 1
-        self.shift = np.full(1 << TABLE_BITS, furthest, np.int64)
+        self.shift = np.full(1 << self.bits, furthest, np.int16 if furthest < 1 << 15 else np.int64)
         for end in range(self.block - 1, length):
             slot = self.slots(_joined([codes[:, end - self.block + 1 + i] for i in range(self.block)]))
-            np.minimum.at(self.shift, slot, length - 1 - end)
+            self.shift[slot] = np.minimum(self.shift[slot], length - 1 - end)  # one value a round, so repeated slots do no harm
         suffix = self.slots(_joined([codes[:, length - self.block + i] for i in range(self.block)]))
         self.buckets = np.unique(self.keys(suffix, _joined(list(codes.T))))
 
     def slots(self, joined: np.ndarray) -> np.ndarray:
-        return (joined >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return (joined >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def keys(self, suffix: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        return (suffix.astype(np.uint64) << np.uint64(64 - TABLE_BITS)) | (whole >> np.uint64(TABLE_BITS))
+        return (suffix.astype(np.uint64) << np.uint64(64 - self.bits)) | (whole >> np.uint64(self.bits))
 
     def ends(self, code, n: int) -> np.ndarray:
         """Last words of possible occurrences among n words; code(i) gives codes of words."""
@@ -116,7 +119,7 @@ def tables(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> list[W
 def _search(shared):
     def run(batches):
         names, searchers = shared.value
-        for batch, texts in sliced(batches, 0):
+        for batch, texts in sliced(batches, 0, CHUNK):
             joined, at = raw(texts)
             data = joined.translate(LOWER)
             starts, ends, first = word_bounds(data, at)
@@ -158,33 +161,36 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """
     added = ("n_words", "hits", "items", "n_hit", "contaminated")
     docs = docs.drop(*(c for c in docs.columns if c in added))
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).filter("text is not null")
+    items = benchmark.select(F.coalesce(col(item_id).cast("string"), F.lit("")).alias("id"), col(item_text).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] * window
     shards = -(-size // shard_bytes) or 1
+    searched, uid = fresh(docs.columns, "searched_text"), fresh((*docs.columns, *added), "uid")
+    found = ["n_words long", "hits array<struct<first:long,last:long>>", "items array<string>"]
 
-    def passed(docs: DataFrame, some: DataFrame) -> DataFrame:
+    def passed(df: DataFrame, some: DataFrame) -> DataFrame:
+        """df's columns but the first, which is searched, and what is found."""
         rows = [(r.id, words_of(r.text)) for r in some.collect()]  # shard_bytes at most, measured
-        shared = docs.sparkSession.sparkContext.broadcast(([r[0] for r in rows], tables(rows, window)))
-        kept = docs.select(F.col(text).alias("__text"), *docs.columns)
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long, hits array<struct<first:long,last:long>>, items array<string>"])
-        return kept.mapInArrow(_search(shared), schema)
+        shared = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], tables(rows, window)))
+        return mapped(df, _search(shared), found, skip=1)
 
+    whole = col(text).cast("string").alias(searched)
     if shards == 1:
-        out = passed(docs, items)
+        out = passed(docs.select(whole, *(col(c) for c in docs.columns)), items)
     else:
-        held = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")
-        merged = held
+        held = Scratch(docs).put(docs.withColumn(uid, F.monotonically_increasing_id()), "docs")
+        own = None
         for k in range(shards):
-            own = passed(held.select("__uid", F.col(text)), items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k))
-            merged = merged.join(own.select("__uid", F.col("n_words").alias(f"__n{k}"), F.col("hits").alias(f"__h{k}"), F.col("items").alias(f"__i{k}")), "__uid")
-        runs = F.array_sort(F.concat(*(f"__h{k}" for k in range(shards))))
-        # runs sorted by first word are united where they touch
+            one = passed(held.select(whole, uid), items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k))
+            one = one if k == 0 else one.filter(F.size("hits") > 0)  # the first pass has a row for every document
+            own = one if own is None else own.unionByName(one)
+        # a row for each pass in which a document has hits; runs sorted by first word are united where they touch
+        all_runs, last = F.array_sort(F.flatten(F.collect_list("hits"))), lambda acc: F.try_element_at(acc, F.lit(-1))
         united = F.aggregate(
-            runs, F.expr("cast(array() as array<struct<first:long,last:long>>)"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["last"] + 1 >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(acc, F.lit(-1))["last"], x["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(x))),
+            "hits", F.expr("cast(array() as array<struct<first:long,last:long>>)"),
+            lambda acc, x: F.when((F.size(acc) > 0) & (last(acc)["last"] + 1 >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["first"].alias("first"), F.greatest(last(acc)["last"], x["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(x))),
         )
-        merged = merged.withColumns({"n_words": F.col("__n0"), "hits": united, "items": F.array_sort(F.array_distinct(F.concat(*(f"__i{k}" for k in range(shards)))))})
-        out = merged.select(*docs.columns, "n_words", "hits", "items")
+        own = own.groupBy(uid).agg(F.max("n_words").alias("n_words"), all_runs.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("hits", united)
+        out = held.join(own, uid).select(*(col(c) for c in docs.columns), "n_words", "hits", "items")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
     return out.withColumn("n_hit", n_hit).withColumn("contaminated", F.col("n_hit") > 0)
 
