@@ -12,7 +12,8 @@ has n + 1 lines; a null or empty text is one empty line. A row is a document, al
    (id, line). They are broadcast only if their measured size is within broadcast_bytes; else suspected lines are joined
    with them by key, which Spark's skew handling can split.
 
-The filters are bounded by max_bits. A fuller filter passes more suspects to step 2; the result is the same.
+The filters are bounded by max_bits. A fuller filter passes more suspects to step 2; the result is the same. min_docs is 2
+at least, as a key that occurs in one document is no repeat.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskspark.llm.common import estimated_bytes, sliced, table, written
+from riskspark.llm.common import Scratch, col, estimated_bytes, pieces, sliced, table, tidy
 
 SPACE = b" \t\n\x0b\x0c\r"
-SEGMENT = 1 << 15  # bytes of a filter that are merged together
+SEGMENT, HELD = 1 << 15, 16 << 20  # bytes of a filter that are merged together; of keys that a task counts
 HASHES = 3
 
 
@@ -67,18 +68,35 @@ def _filters(bits: int, min_chars: int):
     def run(batches):
         once, twice = Bloom(bits), Bloom(bits)
         for batch in batches:
-            found = [h for _, h in _hashed(batch.column(0), min_chars) if len(h)]
-            if found:
-                hashes, n = np.unique(np.concatenate(found), return_counts=True)
-                twice.add(hashes[(n > 1) | once.has(hashes)])
-                once.add(hashes)
+            for _, texts in pieces(batch.column(0)):
+                found = [h for _, h in _hashed(texts, min_chars) if len(h)]
+                if found:
+                    hashes, n = np.unique(np.concatenate(found), return_counts=True)
+                    twice.add(hashes[(n > 1) | once.has(hashes)])
+                    once.add(hashes)
         codec, size = pa.Codec("zstd"), min(SEGMENT, bits // 8)
-        held, again = once.bytes.reshape(-1, size), twice.bytes.reshape(-1, size)
-        where = np.flatnonzero(held.any(axis=1))
-        for lo in range(0, len(where), 256):
-            part = where[lo : lo + 256]
-            squeezed = [[codec.compress(x[i].tobytes(), asbytes=True) for i in part] for x in (held, again)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in squeezed)], ["segment", "once", "twice"])
+        yield from _segments(once.bytes, twice.bytes, size, codec)
+
+    return run
+
+
+def _segments(once: np.ndarray, twice: np.ndarray, size: int, codec):
+    held, again = once.reshape(-1, size), twice.reshape(-1, size)
+    where = np.flatnonzero(held.any(axis=1))
+    for lo in range(0, len(where), 256):
+        part = where[lo : lo + 256]
+        squeezed = [[codec.compress(x[i].tobytes(), asbytes=True) for i in part] for x in (held, again)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in squeezed)], ["segment", "once", "twice"])
+
+
+def _filter_of_keys(bits: int):
+    """Rows of one key: both filters of a task hold all its keys."""
+
+    def run(batches):
+        bloom = Bloom(bits)
+        for batch in batches:
+            bloom.add(np.array([xxhash.xxh3_64_intdigest(k) for k in batch.column(0).to_pylist()], np.uint64))
+        yield from _segments(bloom.bytes, bloom.bytes, min(SEGMENT, bits // 8), pa.Codec("zstd"))
 
     return run
 
@@ -106,10 +124,11 @@ def _merged(size: int):
     return run
 
 
-def _twice_filter(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
+def _merged_filter(rows: DataFrame, filters, bits: int) -> np.ndarray:
+    """The second filter of all tasks together."""
     size = min(SEGMENT, bits // 8)
-    parts = texts.mapInArrow(_filters(bits, min_chars), "segment int, once binary, twice binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged(size), "segment int, twice binary")
+    parts = rows.mapInArrow(tidy(filters), "segment int, once binary, twice binary")
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(tidy(_merged(size)), "segment int, twice binary")
     out, codec = np.zeros((bits // 8 // size, size), np.uint8), pa.Codec("zstd")
     for row in merged.collect():  # bits / 8 bytes at most: bounded by max_bits
         out[row.segment] = np.frombuffer(codec.decompress(bytes(row.twice), size, asbytes=True), np.uint8)
@@ -117,10 +136,10 @@ def _twice_filter(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
 
 
 def _suspects(seen, bits: int, min_chars: int, ranked: bool):
-    """(key, documents with it in this part of the task, its first id and line there)."""
+    """(key, documents with it in this part of the task, its first id and line there). A part has about HELD bytes of keys."""
 
     def run(batches):
-        bloom, counts = Bloom(bits, seen.value), {}
+        bloom, counts, held = Bloom(bits, seen.value), {}, 0
 
         def out():
             keys = list(counts)
@@ -134,14 +153,16 @@ def _suspects(seen, bits: int, min_chars: int, ranked: bool):
                     continue
                 for i in np.flatnonzero(bloom.has(hashes)):
                     key = keys[i]
+                    if key not in counts:
+                        held += len(key) + 200
                     here = (doc, _keys(text.as_py()).index(key)) if ranked and doc is not None else (None, None)
                     n, first = counts.get(key, (0, (None, None)))
                     if first[0] is None or here[0] is not None and here < first:
                         first = here
                     counts[key] = (n + 1, first)
-            if len(counts) >= 50_000:
-                yield out()
-                counts = {}
+                if held > HELD:
+                    yield out()
+                    counts, held = {}, 0
         if counts:
             yield out()
 
@@ -153,8 +174,10 @@ def repeated_lines(texts: DataFrame, min_docs: int, min_chars: int = 1, bits_per
     spark, ranked = texts.sparkSession, len(texts.columns) > 1
     lines = estimated_bytes(texts) // 64 + 1024  # a guess: it only sets how full the filters get
     bits = 1 << min(max(bits_per_line * lines - 1, 1 << 16).bit_length(), max_bits.bit_length() - 1)
-    seen = spark.sparkContext.broadcast(_twice_filter(texts.select(texts.columns[0]), bits, min_chars))
-    suspects = texts.mapInArrow(_suspects(seen, bits, min_chars, ranked), "key binary, n long, first_id string, first_line long")
+    if min_docs < 2:
+        raise ValueError("min_docs must be 2 or more")
+    seen = spark.sparkContext.broadcast(_merged_filter(texts.select(col(texts.columns[0])), _filters(bits, min_chars), bits))
+    suspects = texts.mapInArrow(tidy(_suspects(seen, bits, min_chars, ranked)), "key binary, n long, first_id string, first_line long")
     first = F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "first_line")))
     return suspects.groupBy("key").agg(F.sum("n").alias("n"), first.alias("first")).filter(F.col("n") >= min_docs)
 
@@ -225,32 +248,33 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_
         raise ValueError(keep)
     spark, added = docs.sparkSession, ("kept_text", "n_lines", "n_dropped")
     docs = docs.drop(*(c for c in docs.columns if c in added))
-    key = F.col(doc_id).cast("string")
-    texts = docs.select(F.col(text).alias("text"), *([key.alias("id")] if keep == "first" else []))
-    found = written(repeated_lines(texts, min_docs, min_chars, max_bits=max_bits), "lines")
+    names = docs.columns
+    text, doc_id = (f"in_{names.index(c)}" for c in (text, doc_id))
+    docs = docs.toDF(*(f"in_{i}" for i in range(len(names))))  # whatever the columns are called, nothing clashes
+    key, scratch = col(doc_id).cast("string"), Scratch(docs)
+    texts = docs.select(col(text).cast("string").alias("text"), *([key.alias("id")] if keep == "first" else []))
+    found = scratch.put(repeated_lines(texts, min_docs, min_chars, max_bits=max_bits), "lines")
     n_keys, n_bytes = found.agg(F.count("*"), F.coalesce(F.sum(F.length("key") + 120), F.lit(0))).first()
     out = T.StructType([*docs.schema, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     if n_bytes <= broadcast_bytes:
         gone = {bytes(r.key): (r.first and tuple(r.first)) if keep == "first" else None for r in found.toLocalIterator()}
-        docs_in = docs.withColumn("__key", key) if keep == "first" else docs
+        docs_in = docs.withColumn("key", key) if keep == "first" else docs
         schema = T.StructType([*docs_in.schema, *out.fields[-3:]])
         fn = _dropped(spark.sparkContext.broadcast(gone), docs.columns.index(text), len(docs.columns) if keep == "first" else None, to_arrow_schema(schema))
-        return docs_in.mapInArrow(fn, schema).select(*(F.col(f"`{f.name}`") for f in out))
-    held = written(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")
+        return docs_in.mapInArrow(tidy(fn), schema).select(*(col(f.name) for f in out)).toDF(*names, *added)
+    held = scratch.put(docs.withColumn("uid", F.monotonically_increasing_id()), "docs")
     lines = estimated_bytes(held) // 64 + 1024
     bits = 1 << min(max(16 * lines - 1, 1 << 16).bit_length(), max_bits.bit_length() - 1)
-    bloom = Bloom(bits)
-    for row in found.select("key").toLocalIterator(prefetchPartitions=False):
-        bloom.add(np.array([xxhash.xxh3_64_intdigest(bytes(row.key))], np.uint64))
-    fn = _flagged(spark.sparkContext.broadcast(bloom.bytes), bits, min_chars)
-    hits = held.select("__uid", F.col(text).alias("text")).mapInArrow(fn, "uid long, line long, key binary").join(found.select("key", "first"), "key")
+    seen = spark.sparkContext.broadcast(_merged_filter(found.select("key"), _filter_of_keys(bits), bits))
+    fn = _flagged(seen, bits, min_chars)
+    hits = held.select("uid", col(text).cast("string").alias("text")).mapInArrow(tidy(fn), "uid long, line long, key binary").join(found.select("key", "first"), "key")
     if keep == "first":
-        ids = held.select(F.col("__uid").alias("uid"), key.alias("id"))
+        ids = held.select("uid", key.alias("id"))
         same: Column = (F.col("id") == F.col("first.first_id")) & (F.col("line") == F.col("first.first_line"))
         hits = hits.join(ids, "uid").filter(~F.coalesce(same, F.lit(False)))
-    gone_of = hits.groupBy("uid").agg(F.collect_list("line").alias("__gone")).withColumnRenamed("uid", "__uid")
-    joined = held.join(gone_of, "__uid", "left").drop("__uid")
-    return joined.mapInArrow(_cut(docs.columns.index(text), len(docs.columns), to_arrow_schema(out)), out)
+    gone_of = hits.groupBy("uid").agg(F.collect_list("line").alias("gone"))
+    joined = held.join(gone_of, "uid", "left").select(*docs.columns, "gone")
+    return joined.mapInArrow(tidy(_cut(docs.columns.index(text), len(docs.columns), to_arrow_schema(out))), out).toDF(*names, *added)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
