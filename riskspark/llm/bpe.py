@@ -3,9 +3,9 @@
 A text is cut into pieces by the vocabulary's pattern; each distinct piece is encoded once and remembered in a bounded
 memory. Pieces that are no token themselves go by length into padded matrices, a row each. Every round, each row merges
 its leftmost pair of least rank; the row's tail moves up by one (compaction), only the two pairs beside the merge are
-looked up again, in an open-addressing hash table of all pairs, and rows without a known pair leave. Pieces above
-MATRIX_BYTES (a run of thousands of letters) use a heap over a linked list instead, with the same order of merges, so that a
-very long one costs n log n and not n * n.
+looked up again, in an open-addressing hash table of all pairs, and rows without a known pair leave. A row of n bytes takes
+up to n rounds over n cells, so pieces above matrix_bytes (MATRIX_BYTES; a run of hundreds of letters) use a heap over a
+linked list instead, with the same order of merges and the same ids, and a very long one costs n log n and not n * n.
 
 A null text encodes as an empty one: no ids. Ids are packed as little-endian unsigned 32-bit integers in a binary column.
 """
@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import sliced, table
+from riskspark.llm.common import mapped, pieces, sliced, table
 
 NONE = np.int32(2**31 - 1)
-MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 256, 1 << 18, 1 << 18
+MATRIX_BYTES, MATRIX_CELLS, REMEMBERED = 512, 1 << 18, 1 << 18
 CHUNK = 1 << 20  # bytes of text that are worked on at once
 
 
@@ -63,8 +63,8 @@ class PairTable:
 
 
 class Bpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, matrix_bytes: int = MATRIX_BYTES):
+        self.ranks, self.pattern, self.matrix_bytes = ranks, regex.compile(pattern), matrix_bytes
         self.token = {v: k for k, v in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
@@ -101,7 +101,7 @@ class Bpe:
             rank = ranks.get(raw)
             if rank is not None:
                 self.known[x] = rank.to_bytes(4, "little")
-            elif len(raw) > MATRIX_BYTES:
+            elif len(raw) > self.matrix_bytes:
                 self.known[x] = self.by_heap(raw)
             else:
                 rest.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append(x)
@@ -172,16 +172,16 @@ class Bpe:
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
 
-_LOADED: dict[tuple[int, str], Bpe] = {}
+_LOADED: dict[tuple[int, str, int], Bpe] = {}
 
 
-def loaded(shared) -> Bpe:
+def loaded(shared, matrix_bytes: int = MATRIX_BYTES) -> Bpe:
     """One coder for a Python worker. shared: a broadcast of (the rank file's bytes, pattern)."""
     data, pattern = shared.value
-    key = (hash(data), pattern)
+    key = (hash(data), pattern, matrix_bytes)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Bpe({base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}, pattern)
+        _LOADED[key] = Bpe({base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}, pattern, matrix_bytes)
     return _LOADED[key]
 
 
@@ -195,19 +195,19 @@ def _with(batch: pa.RecordBatch, name: str, values: list, kind: pa.DataType) ->
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(values, kind)], [*batch.schema.names, name])
 
 
-def encode(docs: DataFrame, vocab, text: str = "text", into: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text added (an existing column of that name is replaced)."""
+def encode(docs: DataFrame, vocab, text: str = "text", into: str = "ids", matrix_bytes: int = MATRIX_BYTES) -> DataFrame:
+    """docs with the ids of each whole text added (an existing column of that name is replaced). matrix_bytes: longer pieces use the heap; no result depends on it."""
     docs = docs.drop(into)
     at = docs.columns.index(text)
 
     def run(batches):
-        coder = loaded(vocab)
+        coder = loaded(vocab, matrix_bytes)
         for batch, texts in sliced(batches, at, CHUNK):
             found = [coder.pattern.findall(x) for x in texts.to_pylist()]
             coder.learn(set().union(*found))
             yield _with(batch, into, [b"".join(map(coder.known.__getitem__, one)) for one in found], pa.binary())
 
-    return docs.mapInArrow(run, _schema(docs, f"`{into}` binary"))
+    return mapped(docs, run, [f"`{into}` binary"])
 
 
 def decode(docs: DataFrame, vocab, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -218,15 +218,10 @@ def decode(docs: DataFrame, vocab, ids: str = "ids", into: str = "decoded") -> D
     def run(batches):
         coder = loaded(vocab)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                yield _with(part, into, [coder.decode(x or b"") for x in part.column(at).to_pylist()], pa.binary())
-
-    return docs.mapInArrow(run, _schema(docs, f"`{into}` binary"))
-
+            for lo, some in pieces(batch.column(at), CHUNK):
+                yield _with(batch.slice(lo, len(some)), into, [coder.decode(x) for x in some.to_pylist()], pa.binary())
 
-def _schema(df: DataFrame, added: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), added])
+    return mapped(docs, run, [f"`{into}` binary"])
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
