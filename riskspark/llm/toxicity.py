@@ -6,9 +6,14 @@ between each labelled text with identity terms and its counterfactual, in which
 group. So a group's mention alone moves a score no more than any other group's, and neutral mentions stay neutral.
 Weights are not negative: a toxic word in a long text can't be outweighed by clean ones.
 
-The model is fitted on a sample of at most max_rows labelled texts for each class, by hash of the id; everything is scored.
-A null or empty text has no words and the score of the bias alone. Labels other than 0 and 1, and null ids, are left out;
-ids labelled twice count as toxic if any label is. With labels of one class only, all scores are that class's 0.01 or 0.99,
+A labelled text without identity terms is paired as well: with a term put in, and that term's swap (chosen by a hash of the
+text, in the language of each group in turn). So the penalty holds for terms that no labelled text mentions, whose first
+letters are those of other words.
+
+Only features that a larger share of toxic than of other texts has (SCREEN times, classes balanced) can gain a weight; the
+rest is left out before the fit. The model is fitted on a sample of at most max_rows labelled texts for each class, by hash of
+the id; everything is scored. A null or empty text has no words and the score of the bias alone. Labels other than 0 and 1,
+and null ids, are left out (held_out of a null id is null); ids labelled twice count as toxic if any label is. With labels of one class only, all scores are that class's 0.01 or 0.99,
 and 0.01 without any.
 """
 
@@ -18,20 +23,24 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import sliced, table
+from riskspark.llm.common import col, mapped, sliced, table, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 MAX_ROWS, MIN_DOCS, ROUNDS = 5000, 3, 150
-RATE, L1, PAIR_WEIGHT, REMEMBERED = 0.3, 2e-4, 1.0, 1 << 17
+RATE, L1, PAIR_WEIGHT, SCREEN, REMEMBERED = 0.3, 2e-4, 1.0, 1.25, 1 << 17
 # Terms that name groups of people; each is swapped for the next of its tuple, the last for the first.
 IDENTITY_GROUPS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("female", "male"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("gay", "straight", "lesbian", "bisexual"), ("transgender", "cisgender"), ("black", "white", "asian", "latino"), ("immigrants", "citizens", "refugees"), ("old", "young"), ("blind", "deaf", "disabled"), ("african", "american", "european", "mexican", "chinese"),
+    ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden"), ("schwule", "lesben", "heterosexuelle"), ("ausländer", "einheimische", "flüchtlinge"), ("türken", "deutsche", "polen"),
+    ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs"), ("homosexuels", "lesbiennes", "hétérosexuels"), ("immigrés", "citoyens", "réfugiés"), ("arabes", "français", "africains"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos"), ("homosexuales", "lesbianas", "heterosexuales"), ("inmigrantes", "ciudadanos", "refugiados"), ("gitanos", "españoles", "latinos"),
 )
 
 
@@ -51,8 +60,9 @@ def _hashed(some: set[str]) -> np.ndarray:
     return np.unique(np.array([h for w in some for h in features(w)], np.uint64))
 
 
-def _examples(swap: dict[str, str]):
+def _examples(groups):
     """(id, toxic, its features, features that a swap adds, features that it takes away), packed."""
+    swap, terms = swaps(groups), [t for g in groups for t in g]
 
     def run(batches):
         for batch, texts in sliced(batches, 2):
@@ -61,9 +71,15 @@ def _examples(swap: dict[str, str]):
                 mine = words(x)
                 there = _hashed(mine)
                 own.append(there.tobytes())
-                other = _hashed({swap.get(w, w) for w in mine}) if any(w in swap for w in mine) else there
-                more.append(np.setdiff1d(other, there).tobytes())
-                less.append(np.setdiff1d(there, other).tobytes())
+                if any(w in swap for w in mine):
+                    before, after = there, _hashed({swap.get(w, w) for w in mine})
+                elif terms:
+                    term = terms[xxhash.xxh3_64_intdigest(x) % len(terms)]
+                    before, after = np.union1d(there, _hashed({term})), np.union1d(there, _hashed({swap[term]}))
+                else:
+                    before = after = there
+                more.append(np.setdiff1d(after, before).tobytes())
+                less.append(np.setdiff1d(before, after).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in (own, more, less))], ["id", "toxic", "own", "more", "less"])
 
     return run
@@ -73,31 +89,36 @@ class Model:
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
         self.known: dict[str, float] = {}
+        self.idle: set[str] = set()
 
     def raw(self, text: str) -> float:
-        mine = words(text)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.idle) > REMEMBERED:
             self.known.clear()
-        known, total = self.known, self.bias
-        for w in sorted(mine):  # a fixed order, so that equal texts have equal scores
-            if (x := known.get(w)) is None:
-                x = known[w] = sum(self.weights.get(h, 0.0) for h in features(w))
-            if x:
-                total += x
-        return total
+            self.idle.clear()
+        found = []
+        for w in words(text) - self.idle:  # few words have a weight
+            if (x := self.known.get(w)) is None:
+                x = sum(self.weights.get(h, 0.0) for h in features(w))
+                if not x:
+                    self.idle.add(w)
+                    continue
+                self.known[w] = x
+            found.append((w, x))
+        return sum((x for _, x in sorted(found)), self.bias)  # a fixed order, so that equal texts have equal scores
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.raw(text), -30, 30))))
 
 
-def fit(rows: list[tuple[int, bytes, bytes, bytes]], pair_weight: float = PAIR_WEIGHT, rounds: int = ROUNDS, min_docs: int = MIN_DOCS) -> Model:
-    """rows: (toxic, own, more, less), as _examples() gives them."""
-    toxic = np.array([r[0] for r in rows], np.float64)
+def fit(toxic: np.ndarray, own: list[np.ndarray], more: list[np.ndarray], less: list[np.ndarray], pair_weight: float = PAIR_WEIGHT, rounds: int = ROUNDS, min_docs: int = MIN_DOCS) -> Model:
+    """For each labelled text its label, features, and the features that its counterfactual has more and less."""
+    toxic = toxic.astype(np.float64)
     if not len(toxic) or toxic.min() == toxic.max():
         return Model({}, float(np.log(99) * (1 if len(toxic) and toxic[0] else -1)))
-    own = [np.frombuffer(r[1], np.uint64) for r in rows]
-    keys, n = np.unique(np.concatenate(own), return_counts=True)
-    keys = np.unique(np.concatenate([keys[n >= min_docs], *(np.frombuffer(x, np.uint64) for r in rows for x in r[2:])]))
+    keys, where, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    bad = np.bincount(where, np.repeat(toxic, [len(x) for x in own]), len(keys))
+    enough = (n >= min_docs) & (bad * (1 - toxic).sum() > SCREEN * (n - bad) * toxic.sum())
+    keys = keys[enough]
 
     def indexed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -109,19 +130,20 @@ def fit(rows: list[tuple[int, bytes, bytes, bytes]], pair_weight: float = PAIR_W
     if not len(keys):
         return Model({}, float(np.log(toxic.mean() / (1 - toxic.mean()))))
     at, row = indexed(own)
-    pairs = [r for r in rows if r[2] or r[3]]
-    plus, plus_row = indexed([np.frombuffer(r[2], np.uint64) for r in pairs])
-    minus, minus_row = indexed([np.frombuffer(r[3], np.uint64) for r in pairs])
+    pairs = [i for i in range(len(own)) if len(more[i]) or len(less[i])]
+    plus, plus_row = indexed([more[i] for i in pairs])
+    minus, minus_row = indexed([less[i] for i in pairs])
     weight = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     w, bias, seen, seen_bias = np.zeros(len(keys)), 0.0, np.full(len(keys), 1e-12), 1e-12
+    sums = lambda to, x, n: np.bincount(to, x, n).astype(np.float64)  # noqa: E731  integers where there is nothing to sum
     for _ in range(rounds):
-        raw = np.bincount(row, w[at], len(rows)) + bias
+        raw = sums(row, w[at], len(own)) + bias
         pull = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - toxic)
-        grad = np.bincount(at, pull[row], len(keys))
+        grad = sums(at, pull[row], len(keys))
         if pairs:
-            change = np.bincount(plus_row, w[plus], len(pairs)) - np.bincount(minus_row, w[minus], len(pairs))
+            change = sums(plus_row, w[plus], len(pairs)) - sums(minus_row, w[minus], len(pairs))
             change *= 2 * pair_weight / len(pairs)
-            grad += np.bincount(plus, change[plus_row], len(keys)) - np.bincount(minus, change[minus_row], len(keys))
+            grad += sums(plus, change[plus_row], len(keys)) - sums(minus, change[minus_row], len(keys))
         seen += grad * grad
         seen_bias += pull.sum() ** 2
         step = RATE / np.sqrt(seen)
@@ -133,18 +155,19 @@ def fit(rows: list[tuple[int, bytes, bytes, bytes]], pair_weight: float = PAIR_W
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", max_rows: int = MAX_ROWS, pair_weight: float = PAIR_WEIGHT, groups=IDENTITY_GROUPS) -> Model:
     """labels: every row may be learnt from."""
-    marks = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__toxic")).filter("__id is not null and __toxic in (0, 1)")
-    marks = marks.groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
+    marks = labels.select(col(doc_id).alias("label_id"), col(label).cast("int").alias("toxic")).filter("label_id is not null and toxic in (0, 1)")
+    marks = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     sample = None
     for kind in (0, 1):
-        part = marks.filter(F.col("__toxic") == kind).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+        part = marks.filter(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
         sample = part if sample is None else sample.unionByName(part)
     # 2 * max_rows ids and labels at most: a bound, whatever the input
-    found = docs.select(F.col(doc_id).alias("__doc"), F.col(text).cast("string").alias("__text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    examples = found.select(F.col("__id").cast("string").alias("id"), F.col("__toxic").alias("toxic"), F.col("__text").alias("text"))
-    rows = examples.mapInArrow(_examples(swaps(groups)), "id string, toxic int, own binary, more binary, less binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"], r["own"]))
-    return fit([(r["toxic"], r["own"], r["more"], r["less"]) for r in rows], pair_weight)
+    texts = docs.select(col(doc_id).alias("id"), col(text).cast("string").alias("text"))
+    examples = texts.join(F.broadcast(sample), F.col("id") == F.col("label_id")).select(F.col("id").cast("string").alias("id"), "toxic", "text")
+    found = examples.mapInArrow(tidy(_examples(groups)), "id string, toxic int, own binary, more binary, less binary").toArrow()
+    found = found.take(pc.sort_indices(found, [("id", "ascending"), ("own", "ascending")])) if found.num_rows else found
+    unpacked = ([np.frombuffer(x.as_py(), np.uint64) for x in found[c]] for c in ("own", "more", "less"))
+    return fit(found["toxic"].to_numpy(), *unpacked, pair_weight=pair_weight)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -159,7 +182,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns = [*(batch.column(i) for i in range(batch.num_columns)), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double, predicted int"]))
+    return mapped(docs, run, ["score double", "predicted int"])
 
 
 def held_out(doc_id: str = "doc_id"):
