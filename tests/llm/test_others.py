@@ -115,3 +115,98 @@ def test_pipeline(spark, tmp_path):
     assert stage.columns == spark.read.parquet(f"{tmp_path}/documents.parquet").columns
     assert lines[92].text == "" and lines[92].n_chars == 0 and all("same line" not in lines[i].text for i in range(70, 82)) and lines[5].text == rows[5]
     assert json
+
+
+def test_clustered_neighbours(spark, monkeypatch):
+    """Clusters: a tenth of the sample and of each shard is enough; measured breadth needs less. Shards and copies are many here."""
+    from riskspark.llm import ann
+
+    monkeypatch.setattr(ann, "SHARD", 500)
+    monkeypatch.setattr(ann, "QUERIES", 40)
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((60, 24))
+    v = centres[r.integers(0, 60, 6000)] + 0.1 * r.standard_normal((6000, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(6)
+    asked = np.arange(0, 6000, 20)
+    best = {int(q): {int(i) for i in np.lexsort((np.arange(6000), -(v @ v[q])))[:11] if i != q} for q in asked}
+    for breadth in (0.1, None):
+        got = {int(q): set() for q in asked}
+        for x in ann.nearest(df, df.filter("vec_id % 20 = 0"), k=10, breadth=breadth).collect():
+            got[x.query_id].add(x.vec_id)
+        assert sum(len(got[q] & set(list(best[q])[:10])) for q in got) >= 0.9 * sum(min(10, len(b)) for b in best.values()), breadth
+
+
+def test_repeated_queries_and_ids(spark):
+    """A repeated query row counts once; an id of several vectors is listed once, at its nearest."""
+    from riskspark.llm import ann
+
+    r = np.random.default_rng(5)
+    v = r.standard_normal((300, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist())] * 25 + [(7, (3 * v[0]).tolist()), (7, v[7].tolist())]
+    df = spark.createDataFrame(rows, "`vec.id` bigint, `the.vector` array<double>")
+    got = [(x.rank, x.vec_id, x.score) for x in ann.nearest(df, df.filter("`vec.id` = 0"), 20, "vec.id", "the.vector").collect()]
+    score = (v * v[0]).sum(axis=1)
+    score[7] = max(score[7], (3 * v[0] * v[0]).sum())
+    best = [i for i in np.lexsort((np.arange(300), -score)) if i != 0][:20]
+    assert sorted(got)[0][1] == 7 and len({x[1] for x in got}) == 20 and [x[1] for x in sorted(got)] == best
+
+
+def test_odd_records(spark):
+    """Lone surrogates, deep nesting, strings beside parts, and keys that look like paths."""
+    from riskspark.llm import chat
+
+    part = {"type": "text", "text": "p"}
+    records = [
+        '{"messages": [{"role": "us\\ud800er", "content": "x\\udfffy"}]}', '{"\\ud800": 1, "prompt": "p", "response": "r"}', "[" * 100_000, '{"a":' * 3000 + "1" + "}" * 3000,
+        json.dumps({"messages": [{"role": "user", "content": "s"}, {"role": "user", "content": [part, part]}]}), json.dumps({"prompt": "x" * 2_000_000, "response": ""}),
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(records)], "i int, record string")
+    got = {x.i: [(t.role, t.text) for t in x.read_turns] for x in chat.read_back(chat.format_turns(chat.canonical_turns(df))).collect()}
+    assert got[0] == [("us\ufffder", "x\ufffdy")] and got[1] == [("user", "p"), ("assistant", "r")] and got[2] == got[3] == [] and got[4] == [("user", "s"), ("user", "pp")] and len(got[5][0][1]) == 2_000_000
+    prints = [chat.fingerprint(chat.paths(x)) for x in ({"a": {"b": 1}}, {"a.b": 1}, {"a[]": 1}, {"a": [1]}, {"a\nb": 1}, {"a": 1, "b": 1})]
+    assert len(set(prints)) == len(prints)
+    assert chat.format_turns(chat.canonical_turns(df.limit(0))).count() == 0
+
+
+def test_query_meets_several_layouts(spark):
+    from riskspark.llm import chat
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text")
+    out = chat.canonical_turns(chat.records_in_layouts(rows))
+    one = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat.canonical_turns(chat.records_of(rows)).collect()}
+    assert {x.conv_id: [(t.role, t.text) for t in x.turns] for x in out.collect()} == one
+    assert out.select("fingerprint").distinct().count() >= 2
+    odd = spark.createDataFrame([(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, "system", ""), (2, 1, "user", "u"), (2, 2, "assistant", "v"), (3, 0, "user", ""), (3, 1, "assistant", None), (None, 0, "user", "z")], "conv_id bigint, turn bigint, role string, text string")
+    got = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat.canonical_turns(chat.records_in_layouts(odd)).collect()}
+    assert got == {1: [("human", "a"), ("gpt", "b")], 2: [("system", ""), ("user", "u"), ("assistant", "v")], 3: [("user", ""), ("assistant", "")], None: [("user", "z")]}
+
+
+def test_domains(spark):
+    from riskspark.llm.urls import with_host
+
+    cases = {
+        "http://h.com:8080/x": ("h.com:8080", "com", "h.com"), "http://10.0.0.1/": ("10.0.0.1", "10.0.0.1", "10.0.0.1"), "http://10.0.0.1:80/": ("10.0.0.1:80", "10.0.0.1", "10.0.0.1"), "http://user@a.h.co.uk/": ("user@a.h.co.uk", "co.uk", "h.co.uk"),
+        "http://[::1]:80/": ("[::1]:80", "[::1]", "[::1]"), "x": ("", "", ""), "http://A.B.c.De?q": ("a.b.c.de", "de", "c.de"),
+    }
+    got = {r.url: (r.host, r.suffix, r.domain) for r in with_host(spark.createDataFrame([(u,) for u in cases], "url string")).collect()}
+    assert got == cases
+
+
+def test_reputation_of_held_out_pages(spark):
+    """Hosts of which other pages are bad are blocked; a page's own outcome plays no part; neutral hosts stay."""
+    from pyspark.sql import functions as F
+
+    from riskspark.llm.urls import judge, op10_urls, spam_words
+
+    pages = [(i, f"http://www.free-bets.example.com/{i}", 1) for i in range(30)] + [(100 + i, f"http://news.example.com/{i}", int(i == 0)) for i in range(40)]
+    pages += [(200, "http://lone-casino.example.com/", 1), (201, "http://www.free-bets.example.com/clean", None)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, bad int")
+    got = {r.page_id: r.verdict for r in judge(df, bad="bad", rules=()).collect()}
+    assert all(got[i] == "block" for i in range(30)) and got[201] == "block" and all(got[100 + i] == "allow" for i in range(40)) and got[200] == "allow"
+    flipped = {r.page_id: r.verdict for r in judge(df.withColumn("bad", F.when(F.col("page_id") == 3, 0).otherwise(F.col("bad"))), bad="bad", rules=()).collect()}
+    assert flipped[3] == "block"
+    d = "/root/testdata/sf0.1"
+    marked = spark.read.parquet(f"{d}/pages.parquet").select("page_id", spam_words(F.col("url")).alias("bad"))
+    seen = op10_urls(spark, d).filter("rule is null").join(marked, "page_id").groupBy("bad").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked")).collect()
+    by = {r.bad: (r.n, r.blocked) for r in seen}
+    assert by[0][1] == 0 and by[1][1] >= 0.5 * by[1][0], by

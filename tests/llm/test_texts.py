@@ -306,3 +306,187 @@ def test_secrets_of_one_letter_case():
         assert random_spans(f"a {run} b", [], count) == [(2, 3, 2 + len(run))], run
     for run in ("my_long_function_name_here", "getUserAccountInformation", "node_modules/package/index", "MAX_NUMBER_OF_CONNECTIONS", "user-2021-03-04-backup", "src/main/java/org/apache", "2021-03-04-1234-5678-90"):
         assert random_spans(f"a {run} b", [], count) == [], run
+
+
+def test_notices_are_told_apart(spark, tmp_path):
+    """The GPL's sentence holds nine of the ten words of the AGPL's; scattered words are no notice."""
+    from riskspark.llm.licenses import TEMPLATES, op9_licenses, scan
+
+    notices = {label: t for label, t in TEMPLATES}
+    some = [notices["gpl-3"], notices["agpl-3"], "he reserved all seats, of all rights", "All rights reserved.", "Released by us under the MIT and a License", *(t for _, t in TEMPLATES)]
+    spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.labels for r in op9_licenses(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(5)] == ["gpl-3", "agpl-3", "", "all-rights-reserved", ""]
+    assert [got[5 + k] for k in range(len(TEMPLATES))] == [label if label != "cc-by-nc-4" else "cc-by-nc,cc-by-nc-4" for label, _ in TEMPLATES]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    none = scan(docs, templates=(), phrases=()).collect()
+    assert all(r.labels == [] and r.score == 0 for r in none) and scan(docs.limit(0)).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "1 AS id", "2 AS hash", "3 AS labels", "4 AS `a.b`")
+    assert sorted(r.id for r in scan(clashing, block="both", pairs=True).filter("size(labels) > 0").collect()) == sorted(k for k, v in got.items() if v)
+
+
+def test_unlike_classes_of_one_bucket(spark, monkeypatch):
+    """Thousands of unlike documents share a passage, so that some of their buckets are large and hold many components: a member is copied a few times at most. Split buckets give the same."""
+    import numpy as np
+
+    from riskspark.llm import minhash
+
+    r = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"u{i}-{k}" for k in range(40))) for i in range(4000)]
+    rows += [(10_000 + i, rows[i][1] + " tail") for i in range(0, 4000, 100)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    met = spark.sparkContext.accumulator(0)
+    plain = minhash._close
+
+    def counted(sid, comp, side, sig, limit):
+        met.add(len(sid))
+        return plain(sid, comp, side, sig, limit)
+
+    monkeypatch.setattr(minhash, "_close", counted)
+    got = {x.id: x.component_id for x in minhash.near_duplicates(docs).collect()}
+    assert got == {i: i % 10_000 for i, _ in rows}
+    assert 0 < met.value < minhash.BANDS * len(rows)
+    monkeypatch.setattr(minhash, "BLOCK", 8)  # buckets above 256 are split
+    assert {x.id: x.component_id for x in minhash.near_duplicates(docs).collect()} == got
+    x = np.random.default_rng(1).integers(0, 2**63, (40, minhash.FINE_LONGS)).astype(np.uint64)
+    every = minhash._close(np.arange(40), np.arange(40), np.full(40, 2), x, 10_000)
+    assert len(every[0]) == 40 * 39 // 2
+
+
+def test_repeated_ids_keep_their_texts(spark):
+    from riskspark.llm.minhash import drop_near_duplicates
+
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "x"), (2, a, "y"), (3, "c", "z"), (None, a, "n"), (None, a, "n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `dropped.id` string")
+    kept = Counter((r[0], r[1], r[2]) for r in drop_near_duplicates(df).collect())
+    assert kept == Counter({(1, a, "x"): 1, (1, b, "x"): 1, (3, "c", "z"): 1, (None, a, "n"): 2})
+
+
+def test_odd_column_names(spark):
+    """Dots in names, and names that the operators use themselves."""
+    from riskspark.llm import decontaminate, line_dedup, toxicity
+
+    rows = [(i, "same\nown words of the item here", "k", "u", 1, "g", "s") for i in range(12)]
+    df = spark.createDataFrame(rows, "`doc.id` bigint, `the.text` string, key string, uid string, `__key` int, gone string, searched_text string")
+    bench = spark.createDataFrame([(1, "own words"), (2, "of the item")], "`item.id` int, `item.text` string")
+    for options in ({}, {"shard_bytes": 20}):
+        got = decontaminate.benchmark_hits(df, bench, "the.text", "item.id", "item.text", **options)
+        assert got.columns[:7] == df.columns and {(r.n_words, r.n_hit, tuple(r["items"]), r.uid) for r in got.collect()} == {(7, 5, ("1", "2"), "u")}
+    for options in ({"keep": "first"}, {"keep": "first", "broadcast_bytes": 0}, {"broadcast_bytes": 0}, {}):
+        got = line_dedup.drop_repeated_lines(df, "the.text", "doc.id", **options).collect()
+        assert {(r.n_lines, r.key, r.uid, r["__key"], r.gone) for r in got} == {(2, "k", "u", 1, "g")}
+        assert sorted(r.n_dropped for r in got) == [0 if "keep" in options else 2] + [2] * 11
+    with pytest.raises(ValueError):
+        line_dedup.drop_repeated_lines(df, "the.text", "doc.id", min_docs=1)
+    model = toxicity.train(df, spark.createDataFrame([(1, 0), (2, 1)], "`doc.id` bigint, toxic int"), "the.text", "doc.id")
+    assert toxicity.scored(df, model, "the.text").columns == [*df.columns, "score", "predicted"]
+
+
+def test_secrets_beside_many_spans():
+    """Runs and spans are walked side by side: time grows with the text, not with its square. Known digests are no secrets."""
+    import time
+
+    from riskspark.llm.secrets import base_spans, random_spans
+
+    count, took = (lambda run: len(run)), []
+    for n in (2000, 16000):
+        text = "token=abcdefgh QHZXVKWJPRTMBDNGLCFSqq7z " * n
+        began = time.perf_counter()
+        found = random_spans(text, base_spans(text), count)
+        took.append(time.perf_counter() - began)
+        assert len(found) == n
+    assert took[1] < 40 * took[0]
+    digest = "47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU"
+    assert [len(random_spans(f"{x}{digest}= y", [], count)) for x in ("sha256-", "SHA256:", "SHA-256:", "key:", "")] == [0, 0, 0, 1, 1]
+    assert random_spans("x" * 1_200_000, [], lambda run: 1) == []
+
+
+def test_random_strings_are_found(spark):
+    """Precision and recall of the token ratio, on strings planted in the documents' own prose."""
+    import base64
+
+    import public_tokenizers
+
+    from riskspark.llm import secrets
+    from riskspark.llm.bpe import vocabulary
+
+    r = random.Random(17)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = {
+        "base62": lambda: "".join(r.choice(letters + letters.lower() + "0123456789") for _ in range(r.randrange(20, 48))),
+        "base64": lambda: base64.b64encode(r.randbytes(r.choice((18, 24, 30)))).decode(),
+        "base64url": lambda: base64.urlsafe_b64encode(r.randbytes(r.choice((18, 24, 30)))).decode(),
+        "base32": lambda: base64.b32encode(r.randbytes(20)).decode(),
+    }
+    prose = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if x.text and "=" not in x.text]
+    vocab = vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    planted = []
+    for i in range(1200):
+        kind, text = list(kinds)[i % 4], r.choice(prose)
+        cut = text.find(" ", r.randrange(len(text)))
+        made, head = kinds[kind](), text[: max(0, cut)]
+        planted.append((i, f"{head} {made} {text[max(0, cut):]}", kind, len(head) + 1, len(head) + 1 + len(made)))
+    df = spark.createDataFrame(planted, "doc_id int, text string, kind string, a int, b int")
+    caught, wrong = Counter(), 0
+    for x in secrets.scan(df, vocab).collect():
+        spans = [s for s in x.found if s.kind == "random"]
+        hit = [s for s in spans if x.a <= s.start and s.end <= x.b]
+        caught[x.kind] += bool(hit)
+        wrong += len(spans) - len(hit)
+    assert all(n >= 0.97 * 300 for n in caught.values()) and wrong <= 0.01 * sum(caught.values()), (caught, wrong)
+
+
+def test_both_ways_of_merging(spark):
+    """Pieces by matrices alone, and by heaps alone: the same ids."""
+    import public_tokenizers
+
+    from riskspark.llm import bpe
+
+    r = random.Random(6)
+    some = ["x" * 700, "日本語" * 90, "ab" * 400, *("".join(r.choice("abcdeéß") for _ in range(r.randrange(1, 600))) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(some)), "doc_id int, text string")
+    vocab = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = [{x.doc_id: bytes(x.ids) for x in bpe.encode(rows, vocab, matrix_bytes=n).collect()} for n in (1, 64, 1 << 20)]
+    assert ids[0] == ids[1] == ids[2]
+
+
+def test_mentions_stay_neutral(spark):
+    """Labelled texts in which toxicity goes along with one group: the penalty lowers false alarms on neutral mentions of it."""
+    from riskspark.llm.toxicity import scored, train
+
+    r = random.Random(21)
+    prose = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if x.text][:120]
+    cut = lambda: " ".join(r.choice(prose).split()[:40])
+    rows = [(i, f"{cut()} {'immigrants' if r.random() < 0.7 else 'citizens'} {r.choice(['vileword', 'nastyterm', '']) if r.random() < 0.9 else ''}", 1) for i in range(300)]
+    rows += [(1000 + i, f"{cut()} {'immigrants' if r.random() < 0.05 else 'citizens' if r.random() < 0.3 else ''}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    neutral = spark.createDataFrame([(i, f"{cut()} immigrants") for i in range(200)], "doc_id bigint, text string")
+    bad = spark.createDataFrame([(i, f"{cut()} {w}") for i in range(100) for w in ("vileword",)], "doc_id bigint, text string")
+    rate = {}
+    for weight in (0.0, 20.0):
+        model = train(docs, docs, pair_weight=weight)
+        rate[weight] = tuple(scored(x, model).selectExpr("avg(predicted)").first()[0] for x in (neutral, bad))
+    assert rate[0.0][0] > 0.5 > 0.2 > rate[20.0][0] and rate[20.0][1] > 0.9, rate
+
+
+def test_screening_leaves_the_model(spark):
+    """A plain fit of the same loss over all features, without the screen, decides the same documents."""
+    import numpy as np
+
+    from riskspark.llm import toxicity
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(WORDS) for _ in range(30)).translate(str.maketrans("0123456789", "abcdefghij")) + (" vile" if i % 3 == 0 else "") for i in range(240)]
+    toxic = np.array([int(i % 3 == 0) for i in range(240)])
+    own = [toxicity._hashed(toxicity.words(t)) for t in texts]
+    none = [np.zeros(0, np.uint64)] * 240
+    screened = toxicity.fit(toxic, own, none, none)
+    old, toxicity.SCREEN = toxicity.SCREEN, 0.0
+    try:
+        plain = toxicity.fit(toxic, own, none, none)
+    finally:
+        toxicity.SCREEN = old
+    assert [screened.score(t) >= 0.5 for t in texts] == [plain.score(t) >= 0.5 for t in texts] == [bool(x) for x in toxic]
