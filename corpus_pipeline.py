@@ -9,33 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import bpe, decontaminate, line_dedup, minhash, toxicity
-from riskspark.llm.common import table, written
+from riskspark.llm.common import Scratch, col, parts_for, table
 
 #: The stages learn, count and shuffle, which one SQL statement can't express; tests/llm hold them against plain versions.
 ORACLE_SQL = None
 
 
+def packed(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, by as many tasks as docs needs files of a fair size: scans and shuffles of small parts don't become small files."""
+    return out.select(*(col(c) for c in docs.columns)).coalesce(parts_for(docs))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled rows outside the held-out fold."""
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
-    return toxicity.scored(docs, model).filter("predicted = 0").select(*docs.columns)
+    return packed(toxicity.scored(docs, model).filter("predicted = 0"), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 10 documents or more go from all of them; n_chars follows. A document stays, also without lines."""
     out = line_dedup.drop_repeated_lines(docs, min_docs=10)
     now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*(now[c].alias(c) if c in now else F.col(f"`{c}`") for c in docs.columns))
+    return packed(out.withColumns({c: x for c, x in now.items() if c in docs.columns}), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of the smallest id."""
-    return minhash.drop_near_duplicates(docs).select(*docs.columns)
+    return packed(minhash.drop_near_duplicates(docs), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    return packed(decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +59,8 @@ STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("near dedup", d
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(docs)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, scratch.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
