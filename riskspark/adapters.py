@@ -72,6 +72,7 @@ METRICS = {
     "bare_excepts": "CASE WHEN p_size % 11 = 0 THEN 1 ELSE 0 END", "swallowed_exceptions": "CASE WHEN p_size % 13 = 0 THEN 2 ELSE 0 END", "global_variables": "CASE WHEN p_size % 7 = 0 THEN p_size % 4 ELSE 0 END",
     "duplicate_ratio": "(p_size % 25) / 100.0", "max_parameters": "cast(p_size % 9 AS bigint)", "mutable_default_args": "CASE WHEN p_size % 17 = 0 THEN cast(floor(p_size / 17.0) AS bigint) ELSE 0 END",
     "magic_numbers": "cast(floor(n / 2.0) AS bigint)", "todo_comments": "greatest(p_size % 12 - 4, 0)", "comment_ratio": "(p_size % 20) / 200.0", "function_count": "cast(p_size AS bigint)", "class_count": "cast(p_size % 3 AS bigint)",
+    "clones": "cast(p_size % 4 AS bigint)", "centrality": "(p_size % 50) / 100.0",
 }
 
 
@@ -88,6 +89,37 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr("doc_id", "concat(source, '/', lang, '/doc_', doc_id, '.txt') AS path", "coalesce(text, '') AS text", "lang AS language", "source")
 
 
+#: The shape of each part's generated source: functions, parameters, a list as default, loops, conditions, a guard, and whether it is broken.
+SHAPE = {"fs": "k % 4 + 1", "ps": "k % 5 + 1", "z": "CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END", "ls": "k % 3", "ds": "k % 6", "ts": "k % 2", "broken": "k % 11 = 0"}
+
+
+def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, path, language, text): a Python source for each part, whose measurements follow from SHAPE."""
+    pad = lambda n: f"repeat('    ', cast({n} AS int))"
+    some = lambda n, each: f"CASE WHEN {n} = 0 THEN '' ELSE array_join(transform(sequence(0, cast({n} - 1 AS int)), j -> {each}), '') END"
+    params = "array_join(transform(sequence(0, cast(ps - 1 AS int)), j -> concat('a', j, CASE WHEN z = 1 AND j = ps - 1 THEN '=[]' ELSE '' END)), ', ')"
+    loops, ifs = some("ls", f"concat({pad('j + 1')}, 'for x', j, ' in y:\\n')"), some("ds", f"concat({pad('1 + ls + j')}, 'if x:\\n')")
+    body = f"concat({loops}, {ifs}, {pad('1 + ls + ds')}, 'open(x).read(42)\\n', CASE WHEN ts = 1 THEN '    try:\\n        pass\\n    except:\\n        pass\\n' ELSE '' END)"
+    out = files(spark, sf_dir).select("k", "path").selectExpr("k", "path", *(f"{e} AS {c}" for c, e in SHAPE.items())).selectExpr("*", f"{params} AS params", f"{body} AS body")
+    text = "concat('import os\\nfrom ..core import io\\nCACHE = {}\\nlimit = list()\\n', array_join(transform(sequence(0, cast(fs - 1 AS int)), i -> concat('def f', i, '(', params, '):\\n    global state\\n', body)), ''), CASE WHEN broken THEN 'def f(:\\n' ELSE '' END)"
+    return out.selectExpr("k", "path", "'python' AS language", f"{text} AS text")
+
+
+REPORTS = {
+    "coverage.xml": ("<coverage><packages>", "concat('<class filename=\"', path, '\" line-rate=\"', cast((k % 100) / 100.0D AS string), '\"/>')", "", "</packages></coverage>"),
+    "lcov.info": ("", "concat('SF:./', path, '\\nLF:', k % 90 + 10, '\\nLH:', k % 10, '\\nend_of_record\\n')", "", ""),
+    "coverage.json": ('{"files": {', "concat('\"', path, '\": {\"summary\": {\"percent_covered\": ', k % 100, '}}')", ", ", "}}"),
+    "coverage-final.json": ("{", "concat('\"', path, '\": {\"s\": {\"0\": ', k % 3, ', \"1\": 0, \"2\": 1}}')", ", ", "}"),
+}
+
+
+def coverage_reports(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(name, text): reports of one kind, each about a few dozen parts."""
+    head, each, between, tail = REPORTS[name]
+    rows = files(spark, sf_dir).selectExpr("k DIV 32 AS part", f"{each} AS record").groupBy("part").agg(F.array_join(F.array_sort(F.collect_list("record")), between).alias("records"))
+    return rows.select(F.lit(name).alias("name"), F.concat(F.lit(head), "records", F.lit(tail)).alias("text"))
+
+
 _FIX, _NON, _REV = (p.replace("'", "''") for p in (commit_functions.FIX, commit_functions.NON_FIX, commit_functions.REVERT))
 #: The same relations for DuckDB; those that a statement doesn't name cost nothing.
 SQL = f"""
@@ -108,6 +140,6 @@ metrics AS (
   FROM (SELECT k, path, language, coverage, p_size, coalesce(n, 0) AS n, coalesce(q, 0) AS q, coalesce(r, 0) AS r, coalesce(tr0, 0) AS tr0 FROM files LEFT JOIN part_lines ON l_partkey = k)),
 next_part AS (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem),
 edges AS (SELECT DISTINCT l_partkey AS src, dst FROM next_part WHERE l_returnflag = 'R' AND l_quantity >= 20 AND l_partkey <> dst),
-edges45 AS (SELECT DISTINCT l_partkey AS src, dst FROM next_part WHERE l_returnflag = 'R' AND l_quantity >= 45 AND l_partkey <> dst),
+shapes AS (SELECT k, path, {", ".join(f"{e} AS {c}" for c, e in SHAPE.items())} FROM files),
 sources AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, coalesce(text, '') AS text, lang AS language, source FROM documents)
 """

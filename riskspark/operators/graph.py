@@ -33,8 +33,8 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 
 
-def impact(edges: DataFrame, seeds: DataFrame, risk: DataFrame, strengths: DataFrame | None = None, nodes: DataFrame | None = None, hops: int = 3, limit: int | None = None) -> DataFrame:
-    """(node, impact, hops, own_risk): who is reached backwards over edges (src, dst) from seeds (node), each seed by itself; strengths: path, partner, strength."""
+def impact(edges: DataFrame, seeds: DataFrame, risk: DataFrame, strengths: DataFrame | None = None, nodes: DataFrame | None = None, hops: int = 3, limit: int | None = None, ways: bool = False) -> DataFrame:
+    """(node, impact, hops, own_risk; with ways: reached, whether imports lead there): who is reached backwards over edges (src, dst) from seeds (node), each seed by itself; strengths: path, partner, strength."""
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("next")).distinct()
     front = seeds.select(F.col("node").alias("seed"), F.col("node").alias("at")).distinct()
     seen, reached = front, None
@@ -46,12 +46,29 @@ def impact(edges: DataFrame, seeds: DataFrame, risk: DataFrame, strengths: DataF
         own = seeds.select(F.col("node").alias("seed")).distinct()
         pulled = strengths.join(own, strengths["path"] == own["seed"]).select("seed", F.col("partner").alias("node"), F.lit(None).cast("int").alias("hop"), F.least(F.lit(COUPLED_MOST), COUPLED * F.col("strength")).alias("base"))
         reached = reached.unionByName(pulled.join(nodes.select("node"), "node", "left_semi") if nodes is not None else pulled)
-    total = reached.groupBy("node").agg(F.sum("base").alias("base"), F.coalesce(F.min("hop"), F.lit(1)).alias("hops")).join(seeds.select("node").distinct(), "node", "left_anti")
+    total = reached.groupBy("node").agg(F.sum("base").alias("base"), F.coalesce(F.min("hop"), F.lit(1)).alias("hops"), (F.count("hop") > 0).alias("reached")).join(seeds.select("node").distinct(), "node", "left_anti")
     out = total.join(risk, "node", "left").withColumn("own_risk", F.coalesce("own_risk", F.lit(0.0)))
-    out = out.select("node", F.round(F.least(F.lit(100.0), GAIN * F.col("base") * (1 + F.col("own_risk") / 120)), 1).alias("impact"), "hops", "own_risk")
+    out = out.select("node", F.round(F.least(F.lit(100.0), GAIN * F.col("base") * (1 + F.col("own_risk") / 120)), 1).alias("impact"), "hops", "own_risk", *(["reached"] if ways else []))
     return out.orderBy(F.desc("impact"), "node").limit(limit) if limit else out
 
 
+def reasons(affected: DataFrame, strengths: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """impact()'s rows with `reasons`: how each file is reached, with which seed it changes (the strongest, ties to the smaller), and its own risk. strengths: path, partner, strength."""
+    out = affected.withColumns({"pulled": F.lit(None).cast("double"), "by": F.lit(None).cast("string")})
+    if strengths is not None:
+        own = strengths.join(seeds.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
+        best = own.groupBy(F.col("partner").alias("node")).agg(F.max("strength").alias("pulled"), F.min_by(F.col("path"), F.struct(-F.col("strength"), F.col("path"))).cast("string").alias("by"))
+        out = affected.join(best, "node", "left")
+    by_import = F.when(F.col("hops") == 1, F.lit("imports it directly")).otherwise(F.concat(F.lit("imports it through "), F.col("hops").cast("string"), F.lit(" steps")))
+    reached = F.col("pulled").isNull() | (F.col("reached") if "reached" in affected.columns else F.lit(True))
+    parts = F.array(
+        F.when(reached, by_import),
+        F.when(F.col("pulled").isNotNull(), F.concat(F.lit("changes together with "), F.col("by"), F.lit(" in "), F.round(100 * F.col("pulled")).cast("int").cast("string"), F.lit("% of its commits"))),
+        F.when(F.col("own_risk") >= 60, F.concat(F.lit("is risky itself: "), F.round("own_risk").cast("int").cast("string"))),
+    )
+    return out.withColumn("reasons", F.array_compact(parts)).drop("pulled", "by")
+
+
 def payload(edges: DataFrame, risk: DataFrame, limit: int = 400) -> DataFrame:
     """The edges among the nodes of largest 2 * risk + degree. edges: src, dst; risk: node, own_risk."""
     top = degrees(edges).join(risk, "node", "full").select("node", (2 * F.coalesce("own_risk", F.lit(0.0)) + F.coalesce(F.col("fan_in") + F.col("fan_out"), F.lit(0))).alias("weight"))
@@ -155,7 +172,7 @@ def centrality(edges: DataFrame, nodes: DataFrame, exact: int = EXACT_NODES, piv
         def run(batches):
             for batch in batches:
                 found = _dependencies(shared.value, batch["node"].tolist())
-                yield pd.DataFrame({"node": list(found), "part": list(found.values())})
+                yield pd.DataFrame({"node": pd.Series(list(found), dtype=object), "part": pd.Series(list(found.values()), dtype=float)})
 
         kind = nodes.schema["node"].dataType.simpleString()
         parts = chosen.repartition(max(1, min(n if n <= exact else pivots, 4 * spark.sparkContext.defaultParallelism)), "node").mapInPandas(run, f"node {kind}, part double")

@@ -32,10 +32,27 @@ def top_authors(changes: DataFrame, k: int = 10) -> DataFrame:
     return by_author(changes).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def profile(changes: DataFrame, as_of: int, unit: int = 1) -> DataFrame:
+    """metrics() and ownership() of each path in one pass: counts for each author of a path first, then their sums."""
+    recent = lambda n: F.count_if(F.lit(as_of * unit) - F.col("ts") <= n * DAY * unit)
+    each = changes.groupBy("path", "author").agg(
+        F.count("*").alias("n"), F.count_if("is_fix").alias("fixes"), F.count_if("is_revert").alias("reverts"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"),
+        F.max("ts").alias("last"), F.min("ts").alias("first"), recent(30).alias("recent_30d"), recent(90).alias("recent_90d"))
+    age = lambda t: (F.lit(as_of * unit) - t) / (DAY * unit)
+    sums = [F.sum(c).alias(c) for c in ("fixes", "reverts", "insertions", "deletions", "recent_30d", "recent_90d")]
+    out = each.groupBy("path").agg(F.sum("n").alias("commits"), *sums, age(F.max("last")).alias("days_since_last"), age(F.min("first")).alias("age_days"), F.count("author").alias("authors"), (F.max("n") / F.sum("n")).alias("ownership"))
+    return out.withColumns({"churn": F.col("insertions") + F.col("deletions"), "fix_ratio": F.col("fixes") / F.col("commits")})
+
+
 def fix_follow(changes: DataFrame, horizon: int) -> DataFrame:
-    """The share of other edits that a fix of the same path follows within the horizon: a range frame, no join. One path's rows are in one task; for paths with a share of all rows take fix_follow_semijoin, which also deals by time."""
-    w = Window.partitionBy("path").orderBy("ts").rangeBetween(1, horizon)
-    followed = changes.withColumn("followed", F.coalesce(F.max(F.col("is_fix").cast("int")).over(w), F.lit(0)))
+    """The share of other edits that a fix of the same path follows within the horizon: a range frame, no join.
+
+    A frame is of a path and a span of time as long as the horizon; a fix also stands in the span before its own, whose edits it can follow. So a path's whole history is never in one task."""
+    span = F.floor(F.col("ts") / horizon)
+    both = F.when(F.col("is_fix"), F.array(span, span - 1)).otherwise(F.array(span))
+    placed = changes.select("path", "ts", "is_fix", F.explode(both).alias("span")).withColumn("own", F.col("span") == F.floor(F.col("ts") / horizon))
+    w = Window.partitionBy("path", "span").orderBy("ts").rangeBetween(1, horizon)
+    followed = placed.withColumn("followed", F.coalesce(F.max(F.col("is_fix").cast("int")).over(w), F.lit(0))).filter("own")
     return followed.groupBy("path").agg(F.count_if(~F.col("is_fix")).alias("edits"), F.count_if(~F.col("is_fix") & (F.col("followed") == 1)).alias("followed")).withColumn("rate", F.col("followed") / F.greatest("edits", F.lit(1)))
 
 

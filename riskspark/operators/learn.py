@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scoring
 from riskspark.operators import history
+from riskspark.storage import stored
 
 DAY = 86_400
 LEAST_SAMPLES, LEAST_POSITIVES = 40, 8
@@ -33,8 +34,7 @@ def labels(changes: DataFrame, cutoff: int) -> DataFrame:
 def past(changes: DataFrame, cutoff: int, follow: int = 7 * DAY) -> DataFrame:
     """The history before the cutoff, as seen at the cutoff."""
     before = changes.filter(F.col("ts") < cutoff)
-    out = history.metrics(before, cutoff).join(history.ownership(before), "path")
-    return out.join(history.fix_follow(before, follow).select("path", F.col("rate").alias("fix_follow_rate")), "path")
+    return history.profile(before, cutoff).join(history.fix_follow(before, follow).select("path", F.col("rate").alias("fix_follow_rate")), "path")
 
 
 def training_set(changes: DataFrame, cutoff: int) -> DataFrame:
@@ -138,9 +138,11 @@ def measures(held: DataFrame) -> DataFrame:
 
 
 def auc(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """The rank sum's AUC: counts at each distinct score, then a running sum of them."""
+    """The rank sum's AUC: counts at each distinct score, dealt by ranges of the score, a running sum in each range, and the sums of the ranges before it."""
     at = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = at.withColumn("below", F.sum("n").over(Window.orderBy("s")) - F.col("n"))
+    at = stored(at.repartitionByRange("s").withColumn("range", F.spark_partition_id()), "ranges")
+    before = at.groupBy("range").agg(F.sum("n").alias("whole")).withColumn("before", F.sum("whole").over(Window.orderBy("range")) - F.col("whole"))  # a row for each range
+    below = at.withColumn("below", F.sum("n").over(Window.partitionBy("range").orderBy("s")) - F.col("n")).join(F.broadcast(before), "range").withColumn("below", F.col("below") + F.col("before"))
     return below.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
@@ -29,9 +30,17 @@ def filtered(scored: DataFrame, least: float = 0.0, band: str | None = None, at_
 
 
 def lookup(scored: DataFrame, name: str) -> DataFrame:
-    """The file of exactly that path, else all whose path holds the name: one row is an answer, more are ambiguous."""
+    """The file of exactly that path, else the only one whose path ends in the name (whole parts), else all whose path holds it: one row is an answer, more are ambiguous."""
     exact = scored.filter(F.col("path") == name)
-    return exact if not exact.isEmpty() else scored.filter(F.contains("path", F.lit(name)))
+    if not exact.isEmpty():
+        return exact
+    ending = scored.filter(F.endswith("path", F.lit(f"/{name}")))
+    return ending if len(ending.select("path").take(2)) == 1 else scored.filter(F.contains("path", F.lit(name)))
+
+
+def listed(scored: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The first `limit` files of the ranking, and how many more there are."""
+    return ranking(scored, limit), max(0, scored.count() - limit)
 
 
 def gate(scored: DataFrame, limit: float, show: int = 10) -> DataFrame:
@@ -40,12 +49,12 @@ def gate(scored: DataFrame, limit: float, show: int = 10) -> DataFrame:
 
 
 def summary(scored: DataFrame, lines: str = "loc") -> DataFrame:
-    """files, mean score, upper median (the value at n // 2 of the sorted scores), lines. The median comes from counts of distinct scores, of which there are 10,001 at most."""
-    counts = scored.groupBy("score").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("score"))).withColumn("total", F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    median = upto.filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("score").alias("median"))
-    whole = scored.agg(F.count("*").alias("files"), F.round(F.avg("score"), 2).alias("mean"), F.sum(lines).alias("lines"))
-    return whole.join(median, F.lit(True))
+    """files, mean score, upper median (the value at n // 2 of the sorted scores), lines. All from one pass to counts of distinct scores, of which there are 10,001 at most."""
+    counts = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(lines).alias("lines"))
+    everything = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("score"))).withColumn("total", F.sum("n").over(everything))
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("score")))
+    return upto.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 2).alias("mean"), F.sum("lines").alias("lines"), median.alias("median"))
 
 
 def bands(scored: DataFrame) -> DataFrame:
@@ -102,6 +111,44 @@ def from_json(rows: DataFrame, schema) -> DataFrame:
     return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
 
 
+GLYPHS, COLOURS = {"low": "\U0001f7e2", "medium": "\U0001f7e1", "high": "\U0001f7e0", "critical": "\U0001f534"}, {"low": "green", "medium": "yellow", "high": "orange", "critical": "red"}
+
+
+def decorated(scored: DataFrame) -> DataFrame:
+    """scored with a glyph and a colour for each band."""
+    of = lambda table: F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), F.col("band"))
+    return scored.withColumns({"glyph": of(GLYPHS), "colour": of(COLOURS)})
+
+
+def bar(score, width: int = 20):
+    """A score of 0 to 100 as filled and empty cells."""
+    full = F.round(score / 100 * width).cast("int")
+    return F.concat(F.repeat(F.lit("\u2588"), full), F.repeat(F.lit("\u2591"), F.lit(width) - full))
+
+
+def tree(scored: DataFrame, depth: int = 4, limit: int = 5_000) -> dict:
+    """Directories within directories: each with its files below, its worst score and its `children`; the worst `limit` directories of at most `depth` parts."""
+    root: dict = {"name": "", "files": 0, "worst": 0.0, "children": {}}
+    for r in rollup(scored, depth).orderBy(F.desc("worst"), "dir").limit(limit).collect():
+        node = root
+        for part in r.dir.split("/"):
+            node = node["children"].setdefault(part, {"name": part, "files": 0, "worst": 0.0, "children": {}})
+        node["files"], node["worst"] = r.files, r.worst
+    root["files"], root["worst"] = (sum(c["files"] for c in root["children"].values()), max((c["worst"] for c in root["children"].values()), default=0.0))
+    return root
+
+
+def document(scored: DataFrame, about: dict | None = None, with_metrics: bool = False, limit: int | None = None) -> dict:
+    """The whole report as one value: what it is about, summary, bands, languages, rules, hotspots, and the files, worst first."""
+    one = lambda df: [r.asDict(True) for r in df.collect()]
+    shown = scored.orderBy(F.desc("score"), "path")
+    rows = as_json(shown.limit(limit) if limit else shown, with_metrics).select("json").toLocalIterator()
+    return (about or {}) | {
+        "summary": summary(scored).first().asDict(), "bands": {r.band: r.files for r in bands(scored).collect()}, "languages": {r.language: r.files for r in histogram(scored, "language").collect()},
+        "rules": one(top_rules(scored)), "hotspots": one(hotspots(scored)), "files": [json.loads(r.json) for r in rows],
+    }
+
+
 def narration(scored: DataFrame, redact: bool = True) -> DataFrame:
     """The evidence that a text about a file may use; redacted paths keep only their suffix."""
     name = F.concat(F.lit("file-"), F.substring(F.sha2("path", 256), 1, 12), F.regexp_extract("path", r"(\.[^./]+)$", 1)) if redact else F.col("path")
@@ -109,12 +156,20 @@ def narration(scored: DataFrame, redact: bool = True) -> DataFrame:
 
 
 def html(scored: DataFrame, to: str | Path, limit: int = 300) -> Path:
-    """One page without outside parts, of the first `limit` files."""
+    """One page without outside parts: summary, directories, and the first `limit` files with their reasons."""
     from html import escape
 
-    rows = ranking(scored, limit).collect()
-    body = "".join(f'<tr class="{escape(r.band)}"><td>{escape(r.path)}</td><td>{r.score:.1f}</td><td>{escape(r.band)}</td></tr>' for r in rows)
-    style = "body{font:14px sans-serif}td{padding:2px 12px}.critical{background:#fbb}.high{background:#fdb}.medium{background:#ffd}"
+    cards = "".join(f"<div class=card><b>{escape(str(v))}</b><br>{escape(k)}</div>" for k, v in summary(scored).first().asDict().items())
+    folders = "".join(f"<tr><td>{escape(r.dir or '.')}<td>{r.files}<td>{r.worst:.1f}" for r in directories(scored).orderBy(F.desc("worst"), "dir").limit(60).collect())
+    shown, more = listed(scored, limit)
+    own = scored.join(F.broadcast(shown.select("path")), "path", "left_semi").select("path", "score", "band", "hits").orderBy(F.desc("score"), "path")
+    body = ""
+    for r in own.collect():  # `limit` at most
+        why = "".join(f"<li>{escape(h.title)}: {escape(h.detail)} ({h.points:.1f})" for h in r.hits)
+        body += f'<tr class="{escape(r.band)}"><td>{escape(r.path)}<ul>{why}</ul></td><td>{r.score:.1f}</td><td>{escape(r.band)}</td></tr>'
+    rest = f"<p>and {more} more</p>" if more else ""
+    style = "body{font:14px sans-serif}td{padding:2px 12px;vertical-align:top}ul{margin:0;color:#555}.card{display:inline-block;padding:8px 16px}.critical{background:#fbb}.high{background:#fdb}.medium{background:#ffd}"
+    page = f"<!DOCTYPE html><meta charset=utf-8><title>Risk</title><style>{style}</style>{cards}<table><tr><th>Folder<th>Files<th>Worst{folders}</table><table><tr><th>File<th>Score<th>Band</tr>{body}</table>{rest}"
     to = Path(to)
-    to.write_text(f"<!DOCTYPE html><meta charset=utf-8><title>Risk</title><style>{style}</style><table><tr><th>File<th>Score<th>Band</tr>{body}</table>", encoding="utf-8")
+    to.write_text(page, encoding="utf-8")
     return to

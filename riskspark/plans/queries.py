@@ -13,15 +13,16 @@ from riskspark.functions import commits as c
 from riskspark.functions import scoring
 from riskspark.functions import text as t
 from riskspark.operators import clones, cochange, extract, graph, history, learn, report, rules
-from riskspark.settings import EXCLUDES, TEST_MARKERS, THRESHOLDS, Settings
+from riskspark.settings import ALIASES, EXCLUDES, LANGUAGES, TEST_MARKERS, THRESHOLDS, Settings
 from riskspark.sources import coverage, files
+from riskspark.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 DAY, AS_OF, EVENTS_AS_OF = a.DAY, a.AS_OF, 1_706_659_200  # 2024-01-31
 CUTOFF = AS_OF - 180 * DAY
-SETTINGS = Settings(thresholds=THRESHOLDS | {"recent_commits_30d": 2, "cyclomatic_complexity": 30})
-SKIPPED = "false"
+#: So that every rule fires on the tables: few files have fewer than seven authors, none a share of 0.9 of one.
+SETTINGS = Settings(thresholds=THRESHOLDS | {"recent_commits_30d": 2, "cyclomatic_complexity": 30, "author_count": 7, "ownership_ratio": 0.3, "fix_follow_rate": 0.03})
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -41,14 +42,13 @@ def r6(column: str, to: str | None = None):
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
     """Measurements, history, ownership, fix-follow rate, test presence and dependents of every file."""
-    changes = a.changes(spark, d)
-    past = history.metrics(changes, AS_OF).select("path", "commits", "fixes", "reverts", "fix_ratio", "recent_30d")
-    own = history.ownership(changes)
+    changes = stored(a.changes(spark, d).select("path", "author", "ts", "is_fix", "is_revert", "insertions", "deletions"), "changes")
+    past = history.profile(changes, AS_OF).select("path", "commits", "fixes", "reverts", "fix_ratio", "recent_30d", "authors", "ownership")
     follow = history.fix_follow(changes, 7 * DAY).select("path", F.col("rate").alias("fix_follow_rate"))
     used = graph.degrees(a.edges(spark, d)).select(F.col("node").alias("k"), F.col("fan_in").alias("dependents"))
     base = a.metrics(spark, d)
     tests = files.test_presence(base.select("path"), TEST_MARKERS)
-    out = base.join(past, "path", "left").join(own, "path", "left").join(follow, "path", "left").join(used, "k", "left").join(tests, "path", "left")
+    out = base.join(past, "path", "left").join(follow, "path", "left").join(used, "k", "left").join(tests, "path", "left")
     return out
 
 
@@ -374,14 +374,14 @@ def dup_internal(spark, d):
 
 @query("SELECT a, b, windows, lines, partner_lines FROM clone_sums")
 def clone_pairs(spark, d):
-    out = clones.pairs(clones.fingerprints(a.sources(spark, d)))
+    out = clones.pairs(stored(clones.fingerprints(a.sources(spark, d)), "fingerprints"))
     return out.select("a", "b", "windows", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), F.array_join(F.col("partner_lines").cast("array<string>"), ",").alias("partner_lines"))
 
 
 @query("""SELECT path, partner, windows, CAST(rank AS INT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY path ORDER BY windows DESC, partner) AS rank FROM (SELECT a AS path, b AS partner, windows FROM clone_sums UNION ALL SELECT b, a, windows FROM clone_sums)) WHERE rank <= 5""")
 def clone_partners(spark, d):
-    return clones.partners(clones.pairs(clones.fingerprints(a.sources(spark, d)))).select("path", "partner", "windows", "rank")
+    return clones.partners(clones.pairs(stored(clones.fingerprints(a.sources(spark, d)), "fingerprints"))).select("path", "partner", "windows", "rank")
 
 
 # --- rules ---------------------------------------------------------------------------------------------------------
@@ -547,23 +547,34 @@ def resolve_generic(spark, d):
 _RISK = "SELECT k AS node, (k % 100) * 1.0::DOUBLE AS own_risk FROM files"
 
 
+def _affected_sql(seeds: str) -> str:
+    """(node, base, hop, pulled, by): reached over imports in up to three steps, or among a seed's ten best co-change partners."""
+    return f"""SELECT node, sum(base) AS base, min(hop) AS hop, max(strength) AS pulled, min_by(seed, (-strength, seed)) FILTER (WHERE strength IS NOT NULL) AS by FROM (
+    WITH s(seed) AS (VALUES {seeds}), h1 AS (SELECT DISTINCT seed, src AS node FROM s JOIN edges ON dst = seed), h2 AS (SELECT DISTINCT seed, src AS node FROM h1 JOIN edges ON dst = node), h3 AS (SELECT DISTINCT seed, src AS node FROM h2 JOIN edges ON dst = node),
+    first AS (SELECT seed, node, min(hop) AS hop FROM (SELECT seed, node, 1 AS hop FROM h1 UNION ALL SELECT seed, node, 2 FROM h2 UNION ALL SELECT seed, node, 3 FROM h3) WHERE node <> seed GROUP BY 1, 2),
+    best AS (
+      SELECT f.k AS seed, g.k AS node, round(p.n / hist.commits, 3) AS strength
+      FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, partner) AS rank FROM pairs WHERE path IN (SELECT path FROM files WHERE k IN (SELECT seed FROM s))) p JOIN hist ON hist.path = p.path JOIN files f ON f.path = p.path JOIN files g ON g.path = p.partner WHERE rank <= 10)
+    SELECT seed, node, hop, 10 * pow(0.45, hop - 1) AS base, NULL::DOUBLE AS strength FROM first UNION ALL SELECT seed, node, NULL, least(12.0::DOUBLE, 14 * strength), strength FROM best)
+  WHERE node NOT IN (SELECT * FROM (VALUES {seeds})) GROUP BY node"""
+
+
 def _impact_sql(seeds: str) -> str:
-    return f"""SELECT node, round(least(100.0, 3.2 * base * (1 + own_risk / 120)), 1) AS impact, hops, own_risk FROM (
-  SELECT node, sum(10 * pow(0.45, hop - 1)) AS base, CAST(min(hop) AS INT) AS hops FROM (
-    SELECT seed, node, min(hop) AS hop FROM (
-      WITH s(seed) AS (VALUES {seeds}), h1 AS (SELECT DISTINCT seed, src AS node FROM s JOIN edges45 ON dst = seed), h2 AS (SELECT DISTINCT seed, src AS node FROM h1 JOIN edges45 ON dst = node), h3 AS (SELECT DISTINCT seed, src AS node FROM h2 JOIN edges45 ON dst = node)
-      SELECT seed, node, 1 AS hop FROM h1 UNION ALL SELECT seed, node, 2 FROM h2 UNION ALL SELECT seed, node, 3 FROM h3) WHERE node <> seed GROUP BY 1, 2)
-  WHERE node NOT IN (SELECT * FROM (VALUES {seeds})) GROUP BY node) JOIN ({_RISK}) USING (node)"""
+    return f"SELECT node, round(least(100.0, 3.2 * base * (1 + own_risk / 120)), 1) AS impact, CAST(coalesce(hop, 1) AS INT) AS hops, own_risk FROM ({_affected_sql(seeds)}) JOIN ({_RISK}) USING (node)"
 
 
-def _impact(spark, d, seeds):
-    risk = a.files(spark, d).selectExpr("k AS node", "(k % 100) * 1.0D AS own_risk")
+def _strengths(spark, d, seeds):
+    """(path, partner, strength) of the seeds' ten best partners, as part keys."""
     names, changes = a.files(spark, d).select("k", "path"), a.raw_changes(spark, d)
     own = names.filter(F.col("k").isin(seeds))
     shas = changes.join(own, "path", "left_semi").select("sha").distinct()
     top = cochange.top_partners(cochange.strength(changes.join(shas, "sha", "left_semi")).join(own, "path"))  # whole commits of the seeds: all that their pairs need
-    strengths = top.join(names.select(F.col("path").alias("partner"), F.col("k").alias("to")), "partner").select(F.col("k").alias("path"), F.col("to").alias("partner"), F.round("strength", 3).alias("strength"))
-    return graph.impact(a.edges(spark, d), spark.createDataFrame([(s,) for s in seeds], "node bigint"), risk, strengths, names.select(F.col("k").alias("node")))
+    return top.join(names.select(F.col("path").alias("partner"), F.col("k").alias("to")), "partner").select(F.col("k").alias("path"), F.col("to").alias("partner"), F.round("strength", 3).alias("strength"))
+
+
+def _impact(spark, d, seeds, ways=False):
+    risk = a.files(spark, d).selectExpr("k AS node", "(k % 100) * 1.0D AS own_risk")
+    return graph.impact(a.edges(spark, d), spark.createDataFrame([(s,) for s in seeds], "node bigint"), risk, _strengths(spark, d, seeds), a.files(spark, d).select(F.col("k").alias("node")), ways=ways)
 
 
 @query(_impact_sql("(42)"))
@@ -658,7 +669,9 @@ def _trained(spark, d):
     return learn.train(_features(spark, d))
 
 
-@query()
+@query("""SELECT "case", CASE WHEN n = 0 THEN 'no history before the cutoff' WHEN n < 40 THEN n || ' samples; 40 are needed' WHEN positive < 8 THEN positive || ' fixed files; 8 are needed' WHEN positive = n THEN 'every file was fixed' END AS reason
+  FROM (SELECT 'all' AS "case", count(*) AS n, coalesce(sum(label), 0) AS positive FROM past UNION ALL SELECT 'none before', 0, 0 UNION ALL SELECT 'few', count(*), coalesce(sum(label), 0) FROM (SELECT * FROM past ORDER BY path LIMIT 10)
+    UNION ALL SELECT 'no fixes', count(*), 0 FROM past UNION ALL SELECT 'only fixes', count(*), count(*) FROM past)""")
 def ml_gates(spark, d):
     rows = learn.training_set(a.changes(spark, d), CUTOFF)
     cases = {"all": rows, "none before": rows.limit(0), "few": rows.orderBy("path").limit(10), "no fixes": rows.withColumn("label", F.lit(0)), "only fixes": rows.withColumn("label", F.lit(1))}
@@ -698,30 +711,34 @@ def rule_ml_prediction(spark, d):
     return rules.long_hits(rules.hits(a.metrics(spark, d).join(points, "path", "left"), SETTINGS, phases=("ml",)))
 
 
-# --- extractors and sources, on snippets ---------------------------------------------------------------------------
-SNIPPETS = {
-    "risky.py": "import os\nfrom ..core import io as x\nCACHE = {}\nlimit = list()\ndef load(a, b, *c, d=[], e=dict(), **f):\n    global state\n    for i in a:\n        for j in b:\n            if i and j or a:\n                while True:\n                    open(i).read(42)\n    try:\n        return eval(a)\n    except:\n        pass\n",
-    "match.py": "class A:\n    async def f(self, x):\n        match x:\n            case 1: return 1 if x else 2\n            case _: pass\n        with x as y:\n            return lambda z: z * 3.5\n",
-    "broken.py": "def f(:\n    if x:\n        for y in z:\n            pass\n",
-    "empty.py": "",
-    "app.js": "import x from './lib/x'\nexport function run(a, b) {\n  for (const i of a) {\n    if (i && b) {\n      try { fetch(i) } catch (e) {\n      }\n    }\n  }\n}\nvar total = 12\n",
-}
+# --- extractors and sources ----------------------------------------------------------------------------------------
+_SOUND = "FROM shapes WHERE NOT broken"
 
 
-def _snippets(spark):
-    return spark.createDataFrame([(k, "javascript" if k.endswith("js") else "python", v) for k, v in SNIPPETS.items()], "path string, language string, text string")
+def _extracted(*columns):
+    return lambda spark, d: extract.extract(a.python_sources(spark, d).filter("k % 11 <> 0")).selectExpr("path", *columns)
 
 
-def _extracted(*columns):
-    return lambda spark, d: extract.extract(_snippets(spark)).selectExpr("path", *columns)
+query(f"SELECT path, fs AS function_count, CAST(3 + ls + ds + 4 * ts AS BIGINT) AS max_function_length, ps AS max_parameters, fs * z AS mutable_default_args, fs AS magic_numbers, 2 * fs AS risky_calls, CAST(3 + ls + ds + 4 * ts AS DOUBLE) AS avg_function_length {_SOUND}", "py_functions")(
+    _extracted("function_count", "max_function_length", "max_parameters", "mutable_default_args", "magic_numbers", "risky_calls", "avg_function_length"))
+query(f"SELECT path, greatest(1 + ls + ds, 1 + ts) AS max_nesting_depth, ls AS nested_loop_depth {_SOUND}", "py_nesting")(_extracted("max_nesting_depth", "nested_loop_depth"))
+query(f"SELECT path, fs * (ls + ds + ts) AS cyclomatic_complexity, CAST(fs * (ls * (ls + 1) // 2 + ds * (1 + ls) + ds * (ds - 1) // 2 + ts) AS BIGINT) AS cognitive_complexity, 1 + ls + ds + ts AS max_function_complexity, fs * ds AS branch_count, fs * ls AS loop_count {_SOUND}", "py_complexity")(
+    _extracted("cyclomatic_complexity", "cognitive_complexity", "max_function_complexity", "branch_count", "loop_count"))
+query(f"SELECT path, fs * ts AS try_blocks, fs * ts AS except_handlers, fs * ts AS bare_excepts, fs * ts AS swallowed_exceptions {_SOUND}", "py_errors")(_extracted("try_blocks", "except_handlers", "bare_excepts", "swallowed_exceptions"))
+query(f"SELECT path, fs + 1 AS global_variables, 'limit,state' AS global_names {_SOUND}", "py_globals")(_extracted("global_variables", "array_join(global_names, ',') AS global_names"))
+query(f"SELECT path, 'os,..core,..core.io' AS imports {_SOUND}", "py_imports")(_extracted("array_join(imports, ',') AS imports"))
 
 
-query(None, "py_functions")(_extracted("function_count", "max_function_length", "max_parameters", "mutable_default_args", "to_json(functions) AS functions"))
-query(None, "py_nesting")(_extracted("max_nesting_depth", "nested_loop_depth", "to_json(deep_sites) AS deep_sites"))
-query(None, "py_complexity")(_extracted("cyclomatic_complexity", "cognitive_complexity", "max_function_complexity", "branch_count", "loop_count"))
-query(None, "py_errors")(_extracted("try_blocks", "except_handlers", "bare_excepts", "swallowed_exceptions"))
-query(None, "py_globals")(_extracted("global_variables", "array_join(global_names, ',') AS global_names"))
-query(None, "py_imports")(_extracted("array_join(imports, ',') AS imports"))
+_CODE = f"(SELECT path, regexp_replace(split_part(raw, '//', 1), '^\\s+|\\s+$', '', 'g') AS code FROM lines WHERE NOT regexp_matches(raw, '{_COMMENT}'))"
+
+
+@query(f"""SELECT path, coalesce(branch_count, 0) AS branch_count, coalesce(loop_count, 0) AS loop_count, coalesce(try_blocks, 0) AS try_blocks, coalesce(except_handlers, 0) AS except_handlers, coalesce(risky_calls, 0) AS risky_calls, coalesce(magic_numbers, 0) AS magic_numbers
+  FROM sources LEFT JOIN (
+    SELECT path, CAST(sum({_count(t.BRANCH, 'code')}) AS BIGINT) AS branch_count, CAST(sum({_count(t.LOOP, 'code')}) AS BIGINT) AS loop_count, count(*) FILTER (WHERE {_count(t.TRY, 'code')} > 0) AS try_blocks, count(*) FILTER (WHERE {_count(t.CATCH, 'code')} > 0) AS except_handlers,
+      count(*) FILTER (WHERE {_RISKY.replace('raw', 'code')}) AS risky_calls, CAST(sum({_MAGIC.replace('raw', 'code')}) AS BIGINT) AS magic_numbers FROM {_CODE} WHERE code <> '' GROUP BY path) USING (path)""")
+def heur_lines(spark, d):
+    """What the heuristic counts line by line."""
+    return extract.extract(a.sources(spark, d)).select("path", "branch_count", "loop_count", "try_blocks", "except_handlers", "risky_calls", "magic_numbers")
 
 
 @query()
@@ -729,30 +746,33 @@ def heur_full(spark, d):
     return extract.extract(a.sources(spark, d)).select("path", "parser", "loc", "function_count", "cyclomatic_complexity", "cognitive_complexity", "max_nesting_depth", "magic_numbers", "risky_calls")
 
 
-@query()
+@query("SELECT CASE WHEN broken THEN 'heuristic' ELSE 'ast' END AS parser, count(*) AS files FROM shapes GROUP BY 1")
 def parser_histogram(spark, d):
-    return extract.extract(_snippets(spark)).groupBy("parser").agg(F.count("*").alias("files"))
+    return extract.extract(a.python_sources(spark, d)).groupBy("parser").agg(F.count("*").alias("files"))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{x}', '{ALIASES.get(x, x)}')" for s, x in LANGUAGES.items()) + ") l(suffix, language, vocabulary)")
 def lang_dim(spark, d):
-    from riskspark.settings import ALIASES, LANGUAGES
-
     return spark.createDataFrame([(s, x, ALIASES.get(x, x)) for s, x in LANGUAGES.items()], "suffix string, language string, vocabulary string")
 
 
-def _import_case(spark, rows, paths):
-    return spark.createDataFrame(rows, "importer string, spec string"), spark.createDataFrame([(p,) for p in paths], "path string")
+_OWN = "regexp_extract(path, '([^/]+)\\.[^.]*$', 1)"
 
 
-@query()
+@query(f"SELECT path AS importer, unnest(['.' || {_OWN}, replace(regexp_replace(path, '\\.py$', ''), '/', '.')]) AS spec, path AS target FROM files WHERE ends_with(path, '.py')")
 def resolve_imports(spark, d):
-    return graph.resolve_python(*_import_case(spark, [("x/y/z.py", "..m.n"), ("x/y/z.py", "."), ("a.py", "b.c.d"), ("a.py", "lib"), ("a.py", "os")], ["x/m/n.py", "x/y/__init__.py", "b/c.py", "b/__init__.py", "src/lib/__init__.py"]))
+    """Every Python file by a relative and by an absolute module name."""
+    own = a.files(spark, d).filter("path LIKE '%.py'").select("path")
+    specs = F.array(F.concat(F.lit("."), t.stem(F.col("path"))), F.translate(F.regexp_replace("path", r"\.py$", ""), "/", "."))
+    return graph.resolve_python(own.select(F.col("path").alias("importer"), F.explode(specs).alias("spec")), a.files(spark, d).select("path"))
 
 
-@query()
+@query(f"SELECT path AS importer, unnest(['./' || {_OWN}, '@/' || regexp_replace(regexp_replace(path, '^src/', ''), '\\.js$', '')]) AS spec, path AS target FROM files WHERE ends_with(path, '.js')")
 def resolve_imports_js(spark, d):
-    return graph.resolve_javascript(*_import_case(spark, [("src/ui/app.ts", "./view"), ("src/ui/app.ts", "../core"), ("src/ui/app.ts", "@/core/io"), ("src/ui/app.ts", "react")], ["src/ui/view.tsx", "src/core/index.ts", "src/core/io.js"]))
+    """Every JavaScript file by a specifier from its own folder and one from the root."""
+    own = a.files(spark, d).filter("path LIKE '%.js'").select("path")
+    specs = F.array(F.concat(F.lit("./"), t.stem(F.col("path"))), F.concat(F.lit("@/"), F.regexp_replace(F.regexp_replace("path", "^src/", ""), r"\.js$", "")))
+    return graph.resolve_javascript(own.select(F.col("path").alias("importer"), F.explode(specs).alias("spec")), a.files(spark, d).select("path"))
 
 
 @query()
@@ -760,52 +780,75 @@ def centrality(spark, d):
     return graph.centrality(a.edges(spark, d), a.files(spark, d).select(F.col("k").alias("node")))
 
 
-@query()
+@query(f"SELECT 1 AS seeds, count(*) AS reached, count(*) FILTER (WHERE hops = 1) AS direct, max(impact) AS most FROM ({_impact_sql('(42)')})")
 def impact_explain(spark, d):
     reached = impact(spark, d)
     return reached.agg(F.lit(1).alias("seeds"), F.count("*").alias("reached"), F.count_if(F.col("hops") == 1).alias("direct"), F.max("impact").alias("most"))
 
 
-def _report(spark, name, text):
-    return spark.createDataFrame([(name, text)], "name string, text string")
-
+@query(f"""SELECT node, round(least(100.0, 3.2 * base * (1 + own_risk / 120)), 1) AS impact, concat_ws('; ', CASE WHEN hop = 1 THEN 'imports it directly' WHEN hop > 1 THEN 'imports it through ' || hop || ' steps' END,
+  CASE WHEN pulled IS NOT NULL THEN 'changes together with ' || by || ' in ' || CAST(round(100 * pulled) AS INT) || '% of its commits' END, CASE WHEN own_risk >= 60 THEN 'is risky itself: ' || CAST(round(own_risk) AS INT) END) AS reasons
+  FROM ({_affected_sql('(42), (7), (99)')}) JOIN ({_RISK}) USING (node)""")
+def impact_reasons(spark, d):
+    """Why each file is affected."""
+    seeds = [42, 7, 99]
+    out = graph.reasons(_impact(spark, d, seeds, ways=True), _strengths(spark, d, seeds), spark.createDataFrame([(s,) for s in seeds], "node bigint"))
+    return out.select("node", "impact", F.array_join("reasons", "; ").alias("reasons"))
 
-@query()
-def coverage_cobertura(spark, d):
-    return coverage.read(_report(spark, "coverage.xml", '<coverage><sources><source>/repo/src</source></sources><packages><class filename="a.py" line-rate="0.25"/><class filename="b.py" line-rate="x"/></packages></coverage>'))
 
+def _coverage(name: str, fraction: str):
+    @query(f"SELECT path, round({fraction}, 6) AS fraction FROM files", {"coverage.xml": "coverage_cobertura", "lcov.info": "coverage_lcov", "coverage.json": "coverage_json", "coverage-final.json": "coverage_istanbul"}[name])
+    def read(spark, d):
+        return coverage.read(a.coverage_reports(spark, d, name)).select("path", r6("fraction"))
 
-@query()
-def coverage_lcov(spark, d):
-    return coverage.read(_report(spark, "lcov.info", "SF:./a.js\nLF:100\nLH:30\nend_of_record\nSF:b.js\nLF:0\nLH:0\nend_of_record\n"))
+    return read
 
 
-@query()
-def coverage_json(spark, d):
-    return coverage.read(_report(spark, "coverage.json", '{"files": {"a.py": {"summary": {"percent_covered": 42.0}}}}'))
+_coverage("coverage.xml", "(k % 100) / 100.0::DOUBLE")
+_coverage("lcov.info", "(k % 10) / (k % 90 + 10)")
+_coverage("coverage.json", "(k % 100) / 100.0::DOUBLE")
+_coverage("coverage-final.json", "(CASE WHEN k % 3 > 0 THEN 2 ELSE 1 END) / 3")
 
 
-@query()
-def coverage_istanbul(spark, d):
-    return coverage.read(_report(spark, "coverage-final.json", '{"a.ts": {"s": {"0": 3, "1": 0, "2": 1, "3": 0}}}'))
-
-
-@query()
+@query("SELECT path, score, band, (SELECT count(*) FROM hits WHERE hits.path = scored.path) AS n_hits FROM scored")
 def report_json(spark, d):
-    return report.as_json(scored(spark, d), with_metrics=False)
+    """Read from the JSON itself."""
+    field = lambda name, kind: F.get_json_object("json", f"$.{name}").cast(kind).alias(name)
+    return report.as_json(scored(spark, d), with_metrics=False).select("path", field("score", "double"), field("band", "string"), F.coalesce(F.json_array_length(F.get_json_object("json", "$.hits")), F.lit(0)).cast("long").alias("n_hits"))
 
 
-@query()
+@query("SELECT path, score, band FROM scored")
 def report_roundtrip(spark, d):
     s = scored(spark, d)
     return report.from_json(report.as_json(s), s.schema).select("path", "score", "band")
 
 
-@query()
+_REDACTED = "'file-' || substr(sha256(path), 1, 12) || regexp_extract(path, '(\\.[^./]+)$', 1) AS name"
+
+
+@query(f"SELECT {_REDACTED}, score, band, least(8, (SELECT count(*) FROM hits WHERE hits.path = scored.path)) AS n_evidence FROM scored")
 def narration_payload(spark, d):
-    return report.narration(scored(spark, d))
+    return report.narration(scored(spark, d)).select("name", "score", "band", F.coalesce(F.json_array_length("evidence"), F.lit(0)).cast("long").alias("n_evidence"))
 
 
-@query()
+@query(f"SELECT {_REDACTED} FROM files")
 def fn_redact(spark, d):
     return report.narration(scored(spark, d)).select("name")
+
+
+@query("SELECT path, band, " + ", ".join("CASE band " + " ".join(f"WHEN '{b}' THEN '{x}'" for b, x in table.items()) + f" END AS {name}" for name, table in (("glyph", report.GLYPHS), ("colour", report.COLOURS))) + ", repeat('\u2588', CAST(round(score / 5) AS INT)) || repeat('\u2591', 20 - CAST(round(score / 5) AS INT)) AS bar FROM scored")
+def decorated_files(spark, d):
+    return report.decorated(scored(spark, d)).select("path", "band", "glyph", "colour", report.bar(F.col("score")).alias("bar"))
+
+
+@query("SELECT path, score, band FROM scored ORDER BY score DESC, path LIMIT 500")
+def files_page(spark, d):
+    """The most that one answer of the interface lists."""
+    return report.ranking(scored(spark, d), 500)
+
+
+@query("SELECT * FROM (SELECT path, score, row_number() OVER (ORDER BY score DESC, path) AS r, count(*) OVER () - 25 AS more FROM scored) WHERE r <= 25".replace("SELECT * FROM (SELECT path, score, row_number()", "SELECT path, score, more FROM (SELECT path, score, row_number()"))
+def listing(spark, d):
+    """A listing's rows, and how many it leaves out."""
+    shown, more = report.listed(scored(spark, d), 25)
+    return shown.select("path", "score", F.lit(more).cast("long").alias("more"))
