@@ -93,3 +93,25 @@ def load(path: str | os.PathLike | None = None, env: dict[str, str] | None = Non
                 kind = bool if isinstance(now, bool) else int if isinstance(now, int) else str
                 out = replace(out, **{name: value.lower() in ("1", "true", "yes") if kind is bool and isinstance(value, str) else kind(value)})
     return out
+
+
+def load_env(path: str | os.PathLike = ".env", env: dict[str, str] | None = None) -> dict[str, str]:
+    """What a file of NAME=value lines adds to the environment; names that are set stay. No file adds nothing."""
+    env, added = os.environ if env is None else env, {}
+    if Path(path).is_file():
+        for line in Path(path).read_text(errors="replace").splitlines():
+            name, equals, value = line.strip().removeprefix("export ").partition("=")
+            name, value = name.strip(), value.strip()
+            if equals and name and not name.startswith("#") and name not in env:
+                added[name] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    env.update(added)
+    return added
+
+
+def starter(path: str | os.PathLike) -> Path:
+    """A settings file to begin with; an existing file is never overwritten."""
+    simple = [f"# {f.name} = {str(getattr(Settings(), f.name)).lower()}" for f in fields(Settings) if isinstance(getattr(Settings(), f.name), bool | int)]
+    tables = [line for name, values in (("weights", WEIGHTS), ("thresholds", THRESHOLDS)) for line in ("", f"[{name}]", *(f"# {k} = {v}" for k, v in values.items()))]
+    with open(path, "x") as f:
+        f.write("\n".join(["# excludes = []", *simple, *tables, ""]))
+    return Path(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,12 @@ from riskspark.functions.text import normal_path
 NAMES = ("coverage.xml", "cobertura.xml", "clover.xml", "lcov.info", "coverage/lcov.info", "coverage.json", "coverage/coverage-final.json")
 
 
+def locate(root: str, explicit: str | None = None) -> Path | None:
+    """The report that is named, else the first of NAMES below root; None without one."""
+    named = [Path(explicit), Path(root) / explicit] if explicit else [Path(root) / n for n in NAMES]
+    return next((p for p in named if p.is_file()), None)
+
+
 def cobertura(reports: DataFrame) -> DataFrame:
     """Every class with its line rate (0 if missing or no number), also below each source folder; a broken report gives nothing."""
 

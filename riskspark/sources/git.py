@@ -1,4 +1,4 @@
-"""The commit log of a git repository as a Spark data source: spark.read.format("git_log").option("path", ...).load()."""
+"""The commit log of a git repository as a Spark data source: spark.read.format("git_log").option("path", ...).load(). Paths are relative to the folder."""
 
 from __future__ import annotations
 
@@ -52,20 +52,61 @@ def parse(log: str) -> Iterator[tuple]:
                 yield sha, name or email, int(ts), subject, line, 0, 0
 
 
+def no_history(root: str) -> str | None:
+    """Why there is no commit log, or None."""
+    code, out = git(root, "rev-parse", "--is-inside-work-tree")
+    if code == -2:
+        return "git can't be run"
+    if code == -1:
+        return "git timed out"
+    if code or out.strip() != b"true":
+        return "not a repository"
+    code, out = git(root, "rev-list", "--count", "--no-merges", "HEAD")
+    return None if code == 0 and int(out) else "no commits"
+
+
+def entries(root: str, *args: str) -> Iterator[str]:
+    """The log's entries one by one, as git writes them; an error if git ends with one."""
+    env = os.environ | {"GIT_TERMINAL_PROMPT": "0", "LC_ALL": "C"}
+    with subprocess.Popen(["git", "-C", root, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE, stdin=subprocess.DEVNULL, env=env) as run:
+        rest = b""
+        while chunk := run.stdout.read(1 << 16):
+            *whole, rest = (rest + chunk).split(b"\x1e")
+            yield from (x.decode(errors="replace") for x in whole if x)
+        if rest:
+            yield rest.decode(errors="replace")
+        said = run.stderr.read().decode(errors="replace").strip()
+    if run.returncode:
+        raise RuntimeError(f"git log failed: {said[-300:]}")
+
+
+class _Range(InputPartition):
+    def __init__(self, first: int, count: int):
+        self.first, self.count = first, count
+
+
 class _Reader(DataSourceReader):
+    """A partition for each `each` commits, up to `max`; no rows where there is no history (no_history() says why)."""
+
     def __init__(self, options):
-        self.root, self.days, self.most = options.get("path", "."), int(options.get("days", 730)), int(options.get("max", 20_000))
+        self.root, self.days, self.most, self.each = options.get("path", "."), int(options.get("days", 730)), int(options.get("max", 20_000)), int(options.get("each", 2_000))
 
     def partitions(self):
-        return [InputPartition(0)]
+        if no_history(self.root):
+            return []
+        code, out = git(self.root, "rev-list", "--count", "--no-merges", f"--since={self.days}.days", "HEAD")
+        if code:
+            raise RuntimeError("git can't count the commits")
+        n = min(int(out), self.most)
+        return [_Range(lo, min(self.each, n - lo)) for lo in range(0, n, self.each)]
 
     def read(self, partition):
-        names = is_partial(self.root)
-        args = ["log", "--no-merges", "--no-renames", "-z", f"--since={self.days}.days", f"--max-count={self.most}", "--format=%x1e%H%x1f%an%x1f%ae%x1f%at%x1f%s%x1f"]
-        code, out = git(self.root, *args, "--name-only" if names else "--numstat")
-        if code and not names:
-            code, out = git(self.root, *args, "--name-only")
-        yield from parse(out.decode(errors="replace")) if code == 0 else ()
+        if partition is None:  # Spark's way to say that there are no partitions
+            return
+        names = "--name-only" if is_partial(self.root) else "--numstat"
+        args = ["log", "--no-merges", "--no-renames", "--relative", "-z", f"--since={self.days}.days", f"--skip={partition.first}", f"--max-count={partition.count}", "--format=%x1e%H%x1f%an%x1f%ae%x1f%at%x1f%s%x1f"]
+        for entry in entries(self.root, *args, names):
+            yield from parse("\x1e" + entry)
 
 
 class GitLog(DataSource):
