@@ -367,3 +367,168 @@ def test_impact_counts_cochange_partners(spark, whole_graph, name, seeds):
     got = {r.node: (r.impact, r.hops) for r in queries.QUERIES[name](spark, SF).collect()}
     assert want.keys() == got.keys() and {x: h for x, (_, h) in want.items()} == {x: h for x, (_, h) in got.items()}
     assert {x: i for x, (i, _) in got.items()} == pytest.approx({x: min(100, 3.2 * base * (1 + x % 100 / 120)) for x, (base, _) in want.items()}, abs=0.0501)
+
+
+@pytest.fixture(scope="module")
+def repository(tmp_path_factory):
+    """A small repository: a risky file with fixes, one that is clean, imports, copies, a test, a report, and a folder that is left out."""
+    root = tmp_path_factory.mktemp("repo")
+    run = lambda *a: git.git(str(root), *a)
+    block = "\n".join(f"value_{x} = compute_{x}(1)" for x in "abcdefgh")
+    texts = {
+        "src/payment.py": "import requests\nfrom src import utils\nCACHE = []\nstate = {}\ndef pay(a, b, c, d, e, f, g=[]):\n    global state\n    for i in a:\n        for j in b:\n            for k in c:\n                if i and j:\n                    requests.post(i).read()\n                    open(k).read(42)\n" + block + "\n",
+        "src/utils.py": "def add(a, b):\n    return a + b\n\n\ndef sub(a, b):\n    return a - b\n" + "# note\n" * 8, "src/api.py": "from src import payment\nfrom src.utils import add\n" + block + "\n", "src/ui/app.js": "import './view'\nfunction run(a) { if (a) { return x } }\n",
+        "src/ui/view.js": "export function view() { return 1 }\n", "tests/test_utils.py": "from src import utils\n", "node_modules/x/i.js": "var a = 1\n", "notes.txt": "no source\n", "src/big.py": "x = 1\n" * 300_000,
+        "coverage.xml": '<coverage><packages><class filename="src/payment.py" line-rate="0.25"/><class filename="src/utils.py" line-rate="0.9"/></packages></coverage>',
+    }
+    for name, text in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    run("init", "-q")
+    run("config", "user.email", "a@b")
+    run("config", "user.name", "Ann")
+    run("add", "-A")
+    run("commit", "-qm", "feat: first")
+    for k in range(8):
+        (root / "src/payment.py").write_text(texts["src/payment.py"] + f"# {k}\n")
+        if k % 2:
+            (root / "src/api.py").write_text(texts["src/api.py"] + f"# {k}\n")
+        run("commit", "-qam", f"fix: crash {k}")
+    run("commit", "-qm", 'Revert "fix: crash"', "--allow-empty")
+    return root
+
+
+@pytest.fixture(scope="module")
+def scanned(spark, repository):
+    from riskspark.scan import scan
+
+    return scan(spark, str(repository))
+
+
+def test_scan(scanned):
+    rows = {r.path: r for r in scanned.scored.collect()}
+    assert set(rows) == {"src/payment.py", "src/utils.py", "src/api.py", "src/ui/app.js", "src/ui/view.js", "tests/test_utils.py", "src/big.py"}
+    assert all(0 <= r.score <= 100 for r in rows.values()) and all(bool(r.hits) == (r.score > 0) and all(h.points > 0 and h.detail for h in r.hits) for r in rows.values())
+    assert max(rows.values(), key=lambda r: r.score).path == "src/payment.py"
+    ids = {h.rule_id for h in rows["src/payment.py"].hits}
+    assert {"no-error-handling", "global-state", "duplicate-code", "low-coverage", "mutable-default-arg", "bugfix-density"} <= ids
+    assert not [h for h in rows["src/big.py"].hits if h.phase == "static"] and rows["src/big.py"].status == "skipped: too large"
+    assert rows["src/payment.py"].commits == 9 and rows["src/payment.py"].fixes == 8 and rows["src/utils.py"].coverage == 0.9 and rows["src/utils.py"].has_test is True
+    assert {(e.src, e.dst) for e in scanned.edges.filter("kind = 'import'").collect()} == {("src/payment.py", "src/utils.py"), ("src/api.py", "src/payment.py"), ("src/api.py", "src/utils.py"), ("src/ui/app.js", "src/ui/view.js"), ("tests/test_utils.py", "src/utils.py")}
+    assert scanned.about["history"] == "available" and scanned.about["coverage"] == "coverage.xml" and scanned.about["commits"]["commits"] == 9 and scanned.about["parsers"]["ast"] == 4
+
+
+def test_impact_of_a_scan(scanned):
+    got = {r.node: r for r in scanned.impact(["src/utils.py"]).collect()}
+    assert {p for p, r in got.items() if "imports it directly" in r.reasons} == {"src/payment.py", "src/api.py", "tests/test_utils.py"} and got["src/api.py"].hops == 1
+    assert got["src/big.py"].reasons == ["changes together with src/utils.py in 100% of its commits"]  # the first commit
+    pulled = {r.node: r.reasons for r in scanned.impact(["src/payment.py"]).collect()}
+    assert any("changes together with src/payment.py in 56% of its commits" in x for x in pulled["src/api.py"])
+    assert scanned.impact(["nothing.py"]).count() == 0
+
+
+def test_documents_of_a_scan(scanned, tmp_path):
+    import json
+
+    saved = json.loads(scanned.save(tmp_path / "r.json").read_text())
+    assert saved["summary"]["files"] == len(saved["files"]) == 7 and saved["files"][0]["path"] == "src/payment.py" and saved["hotspots"] and sum(saved["bands"].values()) == 7
+    page = report.html(scanned.scored, tmp_path / "r.html", limit=3).read_text()
+    assert "and 4 more" in page and "calls" in page and "src/ui" in page
+    tree = report.tree(scanned.scored)
+    assert tree["files"] == 7 and tree["children"]["src"]["children"]["ui"]["files"] == 2
+    assert report.lookup(scanned.scored, "utils.py").count() == 1 and report.lookup(scanned.scored, "ui").count() == 2
+
+
+def test_plain_folder(spark, tmp_path):
+    from riskspark.scan import scan, train
+
+    (tmp_path / "a.py").write_text("def f():\n    return 1\n")
+    got = scan(spark, str(tmp_path))
+    assert got.about["history"] == "not a repository" and got.strengths is None and [r.path for r in got.scored.collect()] == ["a.py"]
+    assert train(spark, str(tmp_path)) == (None, "not a repository")
+    assert files.walk(str(tmp_path)) == ["a.py"]
+
+
+def test_log_in_ranges(spark, repository):
+    spark.dataSource.register(git.GitLog)
+    log = spark.read.format("git_log").option("path", str(repository)).option("each", 2)
+    assert log.load().select("sha").distinct().count() == 9 and log.load().rdd.getNumPartitions() == 5
+    inner = spark.read.format("git_log").option("path", str(repository / "src")).load()
+    assert {r.path for r in inner.select("path").distinct().collect()} >= {"payment.py", "ui/app.js"}
+    assert git.no_history("/") == "not a repository" and git.no_history(str(repository)) is None
+    with pytest.raises(RuntimeError):
+        list(git.entries(str(repository), "log", "--no-such-option"))
+
+
+def test_command_line(repository, tmp_path, capsys):
+    import json
+
+    from riskspark.__main__ import main
+
+    root = ["--root", str(repository)]
+    assert main(["version"]) == 0 and main(["init", "--output", str(tmp_path / "s.toml")]) == 0 and main(["init", "--output", str(tmp_path / "s.toml")]) == 2
+    assert st.load(tmp_path / "s.toml", env={}) == st.Settings()
+    capsys.readouterr()
+    assert main(["scan", *root, "--limit", "2", "--json", "--fail-over", "1"]) == 1
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [x["path"] for x in lines][0] == "src/payment.py" and len(lines) == 2 and len(lines[0]["bar"]) == 20
+    assert main(["explain", "payment.py", *root]) == 0 and "Errors" not in capsys.readouterr().err
+    assert main(["explain", "ui", *root]) == 2 and main(["train", *root, "--output", str(tmp_path / "m")]) == 1
+    assert (tmp_path / "s.toml").exists()
+
+
+def test_interface(scanned):
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from riskspark import server
+
+    http = server.serve(server.Cache(lambda: scanned), port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    ask = lambda path, body=None: json.load(urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}/api/{path}", json.dumps(body).encode() if body else None, timeout=60))
+    assert ask("health")["status"] == "ok" and ask("summary")["files"] == 7 and ask("tree")["files"] == 7
+    assert ask("files?limit=2")["more"] == 5 and ask("files/src/payment.py")["path"] == "src/payment.py" and len(ask("graph")["edges"]) == 5
+    assert {x["node"] for x in ask("impact", {"files": ["utils.py"]})["affected"]} >= {"src/api.py"}
+    for path, status in (("files/none.py", 404), ("files/ui", 409), ("nothing", 404), ("files?limit=x", 400)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            ask(path)
+        assert e.value.code == status
+    http.shutdown()
+    held = []
+    cache = server.Cache(lambda: held.append(1))
+    cache.get(), cache.get(), cache.get(again=True)
+    assert len(held) >= 2
+
+
+def test_env_file(tmp_path):
+    (tmp_path / ".env").write_text("# note\nA=1\nexport B = 'two'\nC\nD=old\n")
+    env = {"D": "set"}
+    assert st.load_env(tmp_path / ".env", env) == {"A": "1", "B": "two"} and env == {"A": "1", "B": "two", "D": "set"} and st.load_env(tmp_path / "none", env) == {}
+
+
+def test_history_profile(spark):
+    from riskspark import adapters as ad
+
+    changes = ad.changes(spark, SF)
+    one = history.metrics(changes, ad.AS_OF).join(history.ownership(changes), "path")
+    two = history.profile(changes, ad.AS_OF)
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(sorted(one.columns)).collect())
+    assert key(one) == key(two)
+
+
+def test_fix_follow_over_spans(spark):
+    r = __import__("random").Random(3)
+    rows = [(i, f"p{r.randrange(4)}", r.randrange(400), r.random() < 0.3) for i in range(600)]
+    df = frame(spark, rows, "sha long, path string, ts long, is_fix boolean")
+    got = {x.path: (x.edits, x.followed) for x in history.fix_follow(df, 7).collect()}
+    for p in got:
+        own = [x for x in rows if x[1] == p]
+        edits = [x for x in own if not x[3]]
+        assert got[p] == (len(edits), sum(any(y[3] and x[2] < y[2] <= x[2] + 7 for y in own) for x in edits))
+
+
+def test_marks_that_stand():
+    assert extract.open_marks([0, 4, 8, 4, 0, 2], [True, True, False, True, False, True]) == [1, 2, 2, 2, 0, 1]
+    assert extract.open_marks([1, 1, 2, 1], [True] * 4, equal=True) == [1, 2, 3, 3]
