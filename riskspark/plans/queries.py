@@ -165,7 +165,7 @@ def files_band_min(spark, d):
     return report.filtered(scored(spark, d), at_least="high").select("path", "score", "band")
 
 
-@query("SELECT path, score FROM scored WHERE contains(lower(path), 'silo') OR path IN (SELECT path FROM hits WHERE contains(rule_id, 'revert') OR contains(lower(title), 'revert'))")
+@query("SELECT path, score FROM scored WHERE contains(lower(path), 'silo') OR contains(lower(path), 'revert') OR path IN (SELECT path FROM hits WHERE regexp_matches(rule_id, 'silo|revert') OR regexp_matches(lower(title), 'silo|revert'))")
 def files_search(spark, d):
     s = scored(spark, d)
     return report.filtered(s, search="silo").unionByName(report.filtered(s, search="revert")).select("path", "score").distinct()
@@ -548,8 +548,8 @@ _RISK = "SELECT k AS node, (k % 100) * 1.0::DOUBLE AS own_risk FROM files"
 
 
 def _affected_sql(seeds: str) -> str:
-    """(node, base, hop, pulled, by): reached over imports in up to three steps, or among a seed's ten best co-change partners."""
-    return f"""SELECT node, sum(base) AS base, min(hop) AS hop, max(strength) AS pulled, min_by(seed, (-strength, seed)) FILTER (WHERE strength IS NOT NULL) AS by FROM (
+    """(node, base, hop, pulled, puller): reached over imports in up to three steps, or among a seed's ten best co-change partners."""
+    return f"""SELECT node, sum(base) AS base, min(hop) AS hop, max(strength) AS pulled, min_by(seed, (-strength, seed)) FILTER (WHERE strength IS NOT NULL) AS puller FROM (
     WITH s(seed) AS (VALUES {seeds}), h1 AS (SELECT DISTINCT seed, src AS node FROM s JOIN edges ON dst = seed), h2 AS (SELECT DISTINCT seed, src AS node FROM h1 JOIN edges ON dst = node), h3 AS (SELECT DISTINCT seed, src AS node FROM h2 JOIN edges ON dst = node),
     first AS (SELECT seed, node, min(hop) AS hop FROM (SELECT seed, node, 1 AS hop FROM h1 UNION ALL SELECT seed, node, 2 FROM h2 UNION ALL SELECT seed, node, 3 FROM h3) WHERE node <> seed GROUP BY 1, 2),
     best AS (
@@ -787,7 +787,7 @@ def impact_explain(spark, d):
 
 
 @query(f"""SELECT node, round(least(100.0, 3.2 * base * (1 + own_risk / 120)), 1) AS impact, concat_ws('; ', CASE WHEN hop = 1 THEN 'imports it directly' WHEN hop > 1 THEN 'imports it through ' || hop || ' steps' END,
-  CASE WHEN pulled IS NOT NULL THEN 'changes together with ' || by || ' in ' || CAST(round(100 * pulled) AS INT) || '% of its commits' END, CASE WHEN own_risk >= 60 THEN 'is risky itself: ' || CAST(round(own_risk) AS INT) END) AS reasons
+  CASE WHEN pulled IS NOT NULL THEN 'changes together with ' || puller || ' in ' || CAST(round(100 * pulled) AS INT) || '% of its commits' END, CASE WHEN own_risk >= 60 THEN 'is risky itself: ' || CAST(round(own_risk) AS INT) END) AS reasons
   FROM ({_affected_sql('(42), (7), (99)')}) JOIN ({_RISK}) USING (node)""")
 def impact_reasons(spark, d):
     """Why each file is affected."""
