@@ -112,15 +112,15 @@ def load(spark, path: str) -> Trained | None:
 
 def train(rows: DataFrame, **options) -> Trained:
     """Out-of-fold predictions from k fits, then a fit on all. rows: path, label and FEATURES."""
-    rows = rows.withColumn("label", F.col("label").cast("double")).persist()
+    rows = stored(rows.withColumn("label", F.col("label").cast("double")), "rows")
     n, positive = rows.agg(F.count("*"), F.sum("label")).first()
     k = int(max(2, min(5, positive, n - positive)))
-    dealt, held = folds(rows, k).persist(), None
+    dealt, held = folds(rows, k), None
     for fold in range(k):
         model = pipeline(**options).fit(dealt.filter(F.col("fold") != fold))
         own = probability(model.transform(dealt.filter(F.col("fold") == fold))).select("path", "label", "p")
         held = own if held is None else held.unionByName(own)
-    return Trained(pipeline(**options).fit(rows), held, positive / n)
+    return Trained(pipeline(**options).fit(rows), stored(held, "held"), positive / n)
 
 
 def predict(trained: Trained, rows: DataFrame) -> DataFrame:
