@@ -451,6 +451,8 @@ def test_both_ways_of_merging(spark):
     vocab = bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = [{x.doc_id: bytes(x.ids) for x in bpe.encode(rows, vocab, matrix_bytes=n).collect()} for n in (1, 64, 1 << 20)]
     assert ids[0] == ids[1] == ids[2]
+    both = bpe.both_ways(rows.selectExpr("doc_id", "text", "1 AS ids", "2 AS decoded"), vocab).collect()
+    assert {x.doc_id: bytes(x.ids) for x in both} == ids[0] and all(bytes(x.decoded) == x.text.encode() for x in both)
 
 
 def test_mentions_stay_neutral(spark):
