@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions import text as t
+from riskspark.storage import release, stored
 
 EXACT_NODES, PIVOTS = 3_000, 128
+MOST_EDGES = 16_000_000  # 64 MB of an array
 FALLOFF, FIRST, COUPLED, COUPLED_MOST, GAIN = 0.45, 10.0, 14.0, 12.0, 3.2
 # Suffixes that an import may leave out, and how specifiers of own files begin.
 PY_SUFFIXES, JS_SUFFIXES, JS_STARTS = (".py", ".pyi"), (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), (".", "/", "~", "@/", "src/")
@@ -127,55 +128,75 @@ def resolve_javascript(imports: DataFrame, files: DataFrame) -> DataFrame:
     return _first_found(_with_suffixes(stems, ("", *JS_SUFFIXES)), files)
 
 
-def _dependencies(adjacency: dict, sources) -> dict:
-    """Brandes' accumulation: each source's share of shortest paths that pass each node."""
-    total: dict = {}
+def _dependencies(starts: np.ndarray, targets: np.ndarray, sources) -> np.ndarray:
+    """Brandes' accumulation, a level at a time: the sources' shares of shortest paths that pass each node. The edges of node v lead to targets[starts[v]:starts[v + 1]]."""
+    n = len(starts) - 1
+    total, paths, share, far = np.zeros(n), np.zeros(n), np.zeros(n), np.full(n, -1, np.int32)
     for source in sources:
-        order, before, paths, far, queue = [], {}, {source: 1.0}, {source: 0}, deque([source])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in adjacency.get(v, ()):
-                if w not in far:
-                    far[w] = far[v] + 1
-                    queue.append(w)
-                if far[w] == far[v] + 1:
-                    paths[w] = paths.get(w, 0.0) + paths[v]
-                    before.setdefault(w, []).append(v)
-        share = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before.get(w, ()):
-                share[v] += paths[v] / paths[w] * (1 + share[w])
-            if w != source:
-                total[w] = total.get(w, 0.0) + share[w]
+        front, levels, seen = np.array([source], np.int32), [], []
+        paths[source], far[source] = 1.0, 0
+        while len(front):
+            seen.append(front)
+            many = starts[front + 1] - starts[front]
+            ends = np.cumsum(many)
+            at = np.arange(ends[-1]) + np.repeat(starts[front] - ends + many, many)
+            v, w = np.repeat(front, many), targets[at]
+            new = far[w] < 0
+            v, w = v[new], w[new]
+            front = np.unique(w)
+            far[front] = len(seen)
+            np.add.at(paths, w, paths[v])
+            levels.append((v, w))
+        for v, w in reversed(levels):
+            np.add.at(share, v, paths[v] / paths[w] * (1 + share[w]))
+        share[source] = 0.0
+        for own in seen:
+            total[own] += share[own]
+            paths[own], share[own], far[own] = 0.0, 0.0, -1
     return total
 
 
-def centrality(edges: DataFrame, nodes: DataFrame, exact: int = EXACT_NODES, pivots: int = PIVOTS, most_edges: int = 5_000_000) -> DataFrame:
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """(node, id): ids from 0 without gaps, by a node's place in its partition and the sizes of the partitions before."""
+    at = stored(nodes.select("node", F.monotonically_increasing_id().alias("at")), "nodes")
+    sizes = sorted(at.groupBy(F.shiftright("at", 33).alias("part")).count().collect())  # a row for each partition
+    before = nodes.sparkSession.createDataFrame([(r.part, sum(x["count"] for x in sizes[:i])) for i, r in enumerate(sizes)], "part bigint, before bigint")
+    placed = at.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(before), "part")
+    return stored(placed.select("node", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("id")), "ids")
+
+
+def centrality(edges: DataFrame, nodes: DataFrame, exact: int = EXACT_NODES, pivots: int = PIVOTS, most_edges: int = MOST_EDGES) -> DataFrame:
     """(node, centrality): betweenness over directed edges, normalised. Above `exact` nodes it is estimated from `pivots` sources chosen by hash.
 
-    Sources are dealt over tasks; the adjacency goes to each by broadcast, up to most_edges edges (measured); above that, breadth-first search runs as joins, one for each level of all pivots together."""
+    Sources are dealt over tasks; the edges go to each by broadcast, as two arrays of numbers (4 bytes an edge and a node), up to most_edges edges and nodes (measured); above that, breadth-first search runs as joins, one for each level of all pivots together."""
     spark: SparkSession = edges.sparkSession
-    edges, nodes = edges.select("src", "dst").filter("src <> dst").distinct(), nodes.select("node").distinct()
+    edges, nodes = stored(edges.select("src", "dst").filter("src <> dst").distinct(), "edges"), stored(nodes.select("node").distinct(), "nodes")
+    release(spark)
     n, m = nodes.count(), edges.count()
     norm = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     chosen = nodes if n <= exact else nodes.orderBy(F.xxhash64("node"), "node").limit(pivots)
     norm *= 1.0 if n <= exact else n / pivots
     if m == 0 or norm == 0.0:
         return nodes.select("node", F.lit(0.0).alias("centrality"))
-    if m <= most_edges:
-        adjacency: dict = {}
-        for src, dst in edges.orderBy("src", "dst").toLocalIterator():
-            adjacency.setdefault(src, []).append(dst)
-        shared = spark.sparkContext.broadcast(adjacency)
+    if m <= most_edges and n <= most_edges:
+        ids = _numbered(nodes.unionByName(edges.select(F.col("src").alias("node"))).unionByName(edges.select(F.col("dst").alias("node"))).distinct())
+        ends = edges.join(ids.select(F.col("node").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("node").alias("dst"), F.col("id").alias("d")), "dst")
+        pairs = ends.select("s", "d").orderBy("s", "d").toArrow()
+        many = np.bincount(pairs["s"].to_numpy(), minlength=ids.count())
+        shared = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pairs["d"].to_numpy()))
+        del pairs
 
         def run(batches):
+            total = 0
             for batch in batches:
-                found = _dependencies(shared.value, batch["node"].tolist())
-                yield pd.DataFrame({"node": pd.Series(list(found), dtype=object), "part": pd.Series(list(found.values()), dtype=float)})
-
-        kind = nodes.schema["node"].dataType.simpleString()
-        parts = chosen.repartition(max(1, min(n if n <= exact else pivots, 4 * spark.sparkContext.defaultParallelism)), "node").mapInPandas(run, f"node {kind}, part double")
+                total = total + _dependencies(*shared.value, batch["id"].tolist())
+            if isinstance(total, np.ndarray):
+                found = np.flatnonzero(total)
+                yield pd.DataFrame({"id": found.astype(np.int32), "part": total[found]})
+
+        dealt = max(1, min(n if n <= exact else pivots, 4 * spark.sparkContext.defaultParallelism))
+        parts = chosen.join(ids, "node").select("id").repartition(dealt, "id").mapInPandas(run, "id int, part double")
+        parts = parts.groupBy("id").agg(F.sum("part").alias("part")).join(ids, "id")
     else:
         parts = _by_joins(edges, chosen)
     summed = parts.groupBy("node").agg((F.sum("part") * norm).alias("centrality"))

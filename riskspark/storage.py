@@ -24,6 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of what has been stored go: they stay until the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table, for plans that would compute it several times. It goes when the session ends."""
     spark = df.sparkSession

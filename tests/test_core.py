@@ -222,6 +222,28 @@ def test_git(spark, tmp_path):
     assert git.is_repository(str(tmp_path)) and git.tracked(str(tmp_path)) == ["é a.py"] and not git.is_repository("/") and not git.is_partial(str(tmp_path))
     assert spark.read.format("git_log").option("path", "/").load().count() == 0
 
+def test_centrality_computes_its_edges_once(spark):
+    spark.sparkContext.setCheckpointDir("/tmp/riskspark-test-checkpoint")
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+
+    path = frame(spark, [(1, 2), (2, 3), (3, 4)], "src int, dst int").mapInPandas(counted, "src int, dst int")
+    for most in (10, 0):
+        before = rows.value
+        graph.centrality(path, frame(spark, [(i,) for i in range(1, 6)], "node int"), most_edges=most).collect()
+        assert rows.value - before == 3
+
+
+def test_centrality_by_arrays_and_by_joins(spark):
+    edges = frame(spark, sorted({(f"f{i * 7 % 40}", f"f{(i * i + 3 * i) % 41}") for i in range(160)}), "src string, dst string")
+    nodes = frame(spark, [(f"f{i}",) for i in range(36)], "node string")  # some ends are no nodes
+    by = [{r.node: r.centrality for r in graph.centrality(edges, nodes, **x).collect()} for x in ({}, {"most_edges": 0}, {"exact": 5, "pivots": 7}, {"exact": 5, "pivots": 7, "most_edges": 0})]
+    assert by[0] == pytest.approx(by[1]) and by[2] == pytest.approx(by[3]) and len(by[0]) == 36 and max(by[0].values()) > 0
+
 
 def test_reports(spark, tmp_path):
     scored = rules.scores(rules.hits(wide(spark, **BAD).unionByName(wide(spark, **(BAD | {"path": "src/b/c.py", "loc": 1}))).withColumn("language", F.lit("python"))))
