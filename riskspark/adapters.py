@@ -54,6 +54,13 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"is_fix": commit_functions.is_fix(F.col("subject")), "is_revert": commit_functions.is_revert(F.col("subject"))})
 
 
+def keyed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """changes() with the file's key as path, without subjects: lines move once, by order, and each subject is read once. Keys that are no file's stay in."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS sha", "l_partkey AS path", "floor(l_quantity) AS insertions", "floor(l_quantity * l_discount) AS deletions").repartition("sha")
+    each = lines.groupBy("sha", "path").agg(F.sum("insertions").cast("long").alias("insertions"), F.sum("deletions").cast("long").alias("deletions"))
+    return each.join(commits(spark, sf_dir).select("sha", "author", "ts", commit_functions.is_fix(F.col("subject")).alias("is_fix"), commit_functions.is_revert(F.col("subject")).alias("is_revert")), "sha")
+
+
 def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("event_id AS sha", "concat('user/', user_id) AS path", "concat('user-', user_id) AS author", f"{_epoch('ts', 'MICROSECOND')} AS ts", f"{USER_SUBJECT} AS subject", "event_type = 'error' AS is_fix")
 

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions import scoring
-from riskspark.operators import history
-from riskspark.storage import stored
+from riskspark.operators import boost, history
+from riskspark.storage import release, stored
 
 DAY = 86_400
 LEAST_SAMPLES, LEAST_POSITIVES = 40, 8
@@ -77,55 +73,49 @@ def gates(rows: DataFrame) -> str | None:
     return "every file was fixed" if positive == n else None
 
 
-def pipeline(trees: int = 200, depth: int = 3, rate: float = 0.06, share: float = 0.9, seed: int = 42) -> Pipeline:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(FEATURES), outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True),
-        GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed)])
-
-
-def probability(predicted: DataFrame) -> DataFrame:
-    return predicted.withColumn("p", vector_to_array("probability")[1])
+def pipeline(trees: int = 200, depth: int = 3, rate: float = 0.06, share: float = 0.9, seed: int = 42) -> dict:
+    """The settings of a fit."""
+    return {"trees": trees, "depth": depth, "rate": rate, "share": share, "seed": seed}
 
 
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: boost.Model
     held: DataFrame  # path, label, p: each from a model that hasn't seen the file
     baseline: float
+    rows: DataFrame | None = None  # what it was trained on, stored
 
     def importances(self) -> list[float]:
-        return list(self.model.stages[-1].featureImportances.toArray())
+        return self.model.importances()
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        spark = self.held.sparkSession
+        spark.createDataFrame([(self.model.as_json(),)], "model string").write.mode("overwrite").json(f"{path}/model")
         self.held.write.mode("overwrite").parquet(f"{path}/held")
-        self.held.sparkSession.createDataFrame([(self.baseline,)], "baseline double").write.mode("overwrite").json(f"{path}/about")
+        spark.createDataFrame([(self.baseline,)], "baseline double").write.mode("overwrite").json(f"{path}/about")
 
 
 def load(spark, path: str) -> Trained | None:
     """None where no sound model lies."""
     try:
-        return Trained(PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/held"), spark.read.json(f"{path}/about").first()[0])
+        return Trained(boost.Model.from_json(spark.read.json(f"{path}/model").first()["model"]), spark.read.parquet(f"{path}/held"), spark.read.json(f"{path}/about").first()[0])
     except Exception:  # noqa: BLE001  whatever is wrong with it, it is no model
         return None
 
 
 def train(rows: DataFrame, **options) -> Trained:
-    """Out-of-fold predictions from k fits, then a fit on all. rows: path, label and FEATURES."""
+    """Out-of-fold predictions from k fits and a fit on all, grown together. rows: path, label and FEATURES."""
     rows = stored(rows.withColumn("label", F.col("label").cast("double")), "rows")
+    release(rows.sparkSession)
     n, positive = rows.agg(F.count("*"), F.sum("label")).first()
     k = int(max(2, min(5, positive, n - positive)))
-    dealt, held = folds(rows, k), None
-    for fold in range(k):
-        model = pipeline(**options).fit(dealt.filter(F.col("fold") != fold))
-        own = probability(model.transform(dealt.filter(F.col("fold") == fold))).select("path", "label", "p")
-        held = own if held is None else held.unionByName(own)
-    return Trained(pipeline(**options).fit(rows), stored(held, "held"), positive / n)
+    model, held = boost.train(folds(rows, k), list(FEATURES), k, n, **pipeline(**options))
+    return Trained(model, held, positive / n, rows)
 
 
 def predict(trained: Trained, rows: DataFrame) -> DataFrame:
     """(path, p, held_out): training files keep what was predicted while they were held out; clamped."""
-    fresh = probability(trained.model.transform(rows.drop("label"))).select("path", F.col("p").alias("fresh"))
+    fresh = trained.model.transform(rows.select("path", *FEATURES)).select("path", F.col("p").alias("fresh"))
     out = fresh.join(trained.held.select("path", F.col("p").alias("own")), "path", "left")
     return out.select("path", F.expr(scoring.clamp("coalesce(own, fresh)")).alias("p"), F.col("own").isNotNull().alias("held_out"))
 

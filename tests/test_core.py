@@ -264,6 +264,55 @@ def test_learning_gates(spark):
     assert learn.load(spark, "/nowhere") is None
 
 
+@pytest.fixture(scope="module")
+def learnable(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(f"f{i}", *(float(draw.randrange(n)) for n in (9, 7, 5, 4))) for i in range(400)]
+    return frame(spark, [(*r, float(draw.random() < 0.1 + 0.08 * r[1] + 0.02 * r[2] * r[3]), i % 2) for i, r in enumerate(rows)], "path string, x double, y double, z double, u double, label double, fold long")
+
+
+def test_boosting_is_that_of_mllib(spark, learnable):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from riskspark.operators import boost
+
+    columns = ["x", "y", "z", "u"]
+    model, held = boost.train(learnable, columns, 2, 400, trees=6, depth=3, rate=0.06, share=1.0, seed=1)
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(learnable).repartition(1)
+    other = GBTClassifier(maxIter=6, maxDepth=3, stepSize=0.06, subsamplingRate=1.0, seed=1)
+    p = lambda model, asked: {r.path: r.p for r in model.transform(asked).withColumn("p", vector_to_array("probability")[1]).collect()}
+    want = p(other.fit(rows.filter("fold <> 0")), rows.filter("fold = 0")) | p(other.fit(rows.filter("fold <> 1")), rows.filter("fold = 1"))
+    assert {r.path: r.p for r in held.collect()} == pytest.approx(want)
+    whole = other.fit(rows)
+    assert {r.path: r.p for r in model.transform(learnable.select("path", *columns)).collect()} == pytest.approx(p(whole, rows))
+    assert model.importances() == pytest.approx(list(whole.featureImportances.toArray()))
+
+
+def test_boosting_without_anything_to_split_by(spark, learnable):
+    from riskspark.operators import boost
+
+    out = boost.train(learnable.withColumns({c: F.lit(0.0) for c in "xyzu"}), list("xyzu"), 2, 400, trees=1, depth=3, rate=0.06, share=1.0, seed=1)[1].select("path", "p").join(learnable, "path").toPandas()
+    for fold in (0, 1):
+        mean = 2 * out[out["fold"] != fold]["label"].mean() - 1
+        assert out[out["fold"] == fold]["p"].tolist() == pytest.approx([1 / (1 + 2.718281828459045 ** (-2 * mean))] * 200)
+
+
+def test_training_takes_few_jobs(spark, learnable, tmp_path):
+    rows = learnable.select("path", F.col("label").cast("int").alias("label"), *(F.col(dict(zip(learn.FEATURES, "xyzu")).get(f, "x")).alias(f) for f in learn.FEATURES))
+    spark.sparkContext.setJobGroup("training", "training")
+    trained = learn.train(rows, trees=4)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("training")) < 30  # whatever the number of trees and fits
+    trained.save(f"{tmp_path}/m")
+    again = learn.load(spark, f"{tmp_path}/m")
+    want = {r.path: r.p for r in learn.predict(trained, trained.rows).collect()}
+    assert len(want) == 400 and {r.path: r.p for r in learn.predict(again, trained.rows).collect()} == want
+
+
 def test_stream(spark, tmp_path):
     from riskspark.streaming import feed
 
