@@ -492,3 +492,27 @@ def test_screening_leaves_the_model(spark):
     finally:
         toxicity.SCREEN = old
     assert [screened.score(t) >= 0.5 for t in texts] == [plain.score(t) >= 0.5 for t in texts] == [bool(x) for x in toxic]
+
+
+def test_license_contract(spark, tmp_path):
+    """Base columns of the query, held against a plain reading of its contract: the phrase is "under the mit license"; less is the method's."""
+    import re
+
+    from riskspark.llm.licenses import op9_licenses
+
+    listed = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    some = [None, "", "MIT license", "Under the\nMIT-License", "the mit license", "under mit license", "mit license; sold UNDER THE MIT LICENSE and under_the_mit_license", "a MIT License cc by nc", "under the mit licenses",
+            "\u0130 under the \u212a mit license", "Apache License 2, apache license version 2.0", "under the\x00mit\u00a0license"]
+    r = random.Random(9)
+    some += [" ".join(r.choice([*listed, "mit license", "Under the", "MIT", "x"]) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op9_licenses(spark, str(tmp_path)).collect()}
+    assert len(got) == len(some)
+    for i, t in enumerate(some):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), t or ""))
+        places = [(k, label) for p, label in listed.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        at = [k for k, _ in places]
+        x = got[i]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({v for _, v in places}))), t
+        assert {v for _, v in places} <= set(x.labels.split(",")) and x.score == (1.0 if places else x.score), t
+    assert [(got[k].base_labels, got[k].labels, got[k].score) for k in (2, 4, 5, 7)] == [("", "mit", 1.0)] * 3 + [("cc-by-nc", "cc-by-nc,mit", 1.0)]
